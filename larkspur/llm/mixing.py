@@ -5,10 +5,10 @@ order within their source, the expected copies are prefix-summed, a random offse
 and a document is emitted once for every integer boundary that its interval crosses. Expected copies
 are fixed-point integers (1 / 2**24), so sums are exact and reruns agree.
 
-The order is by size class, then a residue of the id, then size and id. Sorting by size stratifies the
+The order is by size class, then a residue of the id's MD5, then size and id. Sorting by size stratifies the
 systematic sample, so the words taken, not only the documents, come near the target. A source is split
 into blocks (size class, residue); only block counts are prefix-summed across a source, so a source
-with a third of all rows is spread over thousands of groups.
+with a third of all rows is spread over thousands of groups, and over more the more rows there are.
 
 Edge cases: a null text has size 0; a null source is a source of its own, sorted last; repeated ids are
 separate rows (ties in the order are broken by size; rows equal in both are interchangeable); an empty
@@ -21,22 +21,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import broadcast_if_small, n_words
+from larkspur.llm._common import broadcast_if_small, materialize, n_words
 
 ONE = 1 << 24
-#: Blocks of a size class within a source.
-RESIDUES = 64
+#: Blocks of a size class within a source, at least, and rows for each further one.
+RESIDUES, ROWS = 64, 100_000
 
 
-def with_blocks(sized: DataFrame, id_col: str, size_col: str, prefix: str = "__mx_") -> DataFrame:
+def residues(n_rows: int) -> int:
+    out = RESIDUES
+    while out * ROWS < n_rows:
+        out *= 2
+    return out
+
+
+def with_blocks(sized: DataFrame, id_col: str, size_col: str, n_residues: int = RESIDUES, prefix: str = "__mx_") -> DataFrame:
     p = prefix
+    digest = f"conv(substring(md5(coalesce(cast(`{id_col}` AS string), '')), 1, 8), 16, 10)"
     return sized.withColumn(
         f"{p}bin",
         F.expr(
             f"CASE WHEN `{size_col}` <= 0 THEN 0 ELSE length(bin(`{size_col}`)) * 8 + "
             f"cast(shiftright(`{size_col}`, greatest(length(bin(`{size_col}`)) - 4, 0)) & 7 AS int) END"
         ),
-    ).withColumn(f"{p}sub", F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(0)), F.lit(RESIDUES)).cast("int"))
+    ).withColumn(f"{p}sub", F.expr(f"cast(cast({digest} AS bigint) % {n_residues} AS int)"))
 
 
 def source_targets(blocks: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix-1") -> DataFrame:
@@ -72,23 +80,24 @@ def source_targets(blocks: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str
     )
 
 
-def mix(sized: DataFrame, blocks: DataFrame, n_sources: int, id_col="doc_id", size_col="size", source_col="source", weights=(5, 2, 1), cap=3, seed="mix-1") -> DataFrame:
+def mix(sized: DataFrame, blocks: DataFrame, n_blocks: int, id_col="doc_id", size_col="size", source_col="source", weights=(5, 2, 1), cap=3, seed="mix-1") -> DataFrame:
     """Add source_size, target, copies and taken to each row of ``sized``.
 
     sized: rows with the id, size and source columns, and ``with_blocks`` applied; other columns pass
-    through. blocks: its counts, from ``count_blocks``. n_sources: sources in it, for the broadcast's bound.
+    through. blocks: its counts, from ``count_blocks``. n_blocks: rows of it, for the broadcasts' bound.
     """
     targets = source_targets(blocks, weights, cap, seed)
     ahead = W.partitionBy("source").orderBy("__mx_bin", "__mx_sub").rowsBetween(W.unboundedPreceding, -1)
     at = blocks.select("source", "__mx_bin", "__mx_sub", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
-    at = at.join(broadcast_if_small(targets, n_sources, 200), at["source"].eqNullSafe(targets["source"])).select(
+    at = at.join(broadcast_if_small(targets, n_blocks, 200), at["source"].eqNullSafe(targets["source"])).select(
         at["source"].alias("__mx_source"), F.col("__mx_bin").alias("__mx_b"), F.col("__mx_sub").alias("__mx_s"), "ahead", targets["source_size"].alias("source_size"), "target", "expect", "offset"
     )
     at = at.select(*[F.col(c).alias(c if c.startswith("__mx_") else f"__mx_{c}") for c in at.columns])
-    rows = sized.join(at, sized[source_col].eqNullSafe(at["__mx_source"]) & (sized["__mx_bin"] == at["__mx_b"]) & (sized["__mx_sub"] == at["__mx_s"]))
-    inside = W.partitionBy("__mx_source", "__mx_b", "__mx_s").orderBy(size_col, F.col(id_col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
-    end = F.sum("__mx_expect").over(inside) + F.col("__mx_expect") * F.col("__mx_ahead") + F.col("__mx_offset")
-    rows = rows.withColumn("__mx_end", end)
+    inside = W.partitionBy(source_col, "__mx_bin", "__mx_sub").orderBy(size_col, F.col(id_col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    rows = sized.withColumn("__mx_rank", F.count(F.lit(1)).over(inside))
+    same = rows[source_col].eqNullSafe(at["__mx_source"]) & (rows["__mx_bin"] == at["__mx_b"]) & (rows["__mx_sub"] == at["__mx_s"])
+    rows = rows.join(broadcast_if_small(at, n_blocks, 120), same)
+    rows = rows.withColumn("__mx_end", F.col("__mx_expect") * (F.col("__mx_ahead") + F.col("__mx_rank")) + F.col("__mx_offset"))
     copies = F.shiftright("__mx_end", 24) - F.shiftright(F.col("__mx_end") - F.col("__mx_expect"), 24)
     kept = [c for c in sized.columns if not c.startswith("__mx_")]
     return rows.withColumn("__mx_copies", copies.cast("long")).select(
@@ -108,5 +117,13 @@ def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
     return mixed.where("mix_copies > 0").withColumn("__mx_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*columns)
 
 
-def sized_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    return docs.withColumn("__mx_size", n_words(text_col))
+def mix_documents(docs: DataFrame, text_col="text", id_col="doc_id", source_col="source", weights=(5, 2, 1), cap=3, seed="mix-1") -> DataFrame:
+    """docs with mix_size (words), mix_source_size, mix_target and mix_copies added.
+
+    The texts are read twice if docs holds them: once to count blocks, once for the result.
+    """
+    sized = docs.withColumn("mix_size", n_words(text_col))
+    n = residues(docs.count())
+    sized = with_blocks(sized, id_col, "mix_size", n)
+    blocks = materialize(count_blocks(sized, "mix_size", source_col), "mix-blocks")
+    return mix(sized, blocks, blocks.count(), id_col, "mix_size", source_col, weights, cap, seed)
