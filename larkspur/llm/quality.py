@@ -3,10 +3,11 @@
 Trusted positives (documents labelled good) are held against unlabelled web text. Of a linear scorer g
 with logistic loss l, the risk ``prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])`` is minimised
 by full-batch Adam. Where the bracket goes below zero the step follows its negated gradient instead, as
-the non-negative estimator asks. No labelled negative is used.
+the non-negative estimator asks. No text of a labelled negative teaches as such.
 
-The class prior is estimated from the two samples alone: for any set S, U(S) >= prior * P(S), so the least
-ratio U(S) / P(S) over score thresholds of a cross-fitted scorer bounds the prior from above.
+The class prior is estimated as the lower of two figures. For any set S, U(S) >= prior * P(S), so the least
+ratio U(S) / P(S) over score thresholds of a cross-fitted scorer bounds it from above; and the share of
+label 1 among the labelled rows, where some are labelled otherwise, estimates it directly.
 
 Features describe the text only: frequencies of its bytes, and shares of repeated words, lines and word
 windows, upper case, marks and blanks. They are taken over the whole text, whatever its length.
@@ -132,12 +133,13 @@ def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.3) -> float:
     return float(min(0.98, max(0.02, best)))
 
 
-def fit(positives: np.ndarray, unlabelled: np.ndarray) -> Model:
+def fit(positives: np.ndarray, unlabelled: np.ndarray, share: float = 1.0) -> Model:
+    """share: of label 1 among labelled rows; 1 if it isn't known."""
     if not len(positives) or not len(unlabelled):
         return Model(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 0.5)
     mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
     p, u = np.clip((positives - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
-    prior = estimate_prior(p, u)
+    prior = min(estimate_prior(p, u), max(0.02, share))
     w, b, _ = fit_nnpu(p, u, prior)
     return Model(mean, scale, w, b, prior)
 
@@ -172,7 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE)
         drawn = [(r[0],) for r in ids.collect()]
         small = spark.createDataFrame(drawn, docs.select("doc_id").schema)
         out.append(_featured(docs.join(F.broadcast(small), "doc_id", "left_semi"), sample))
-    return fit(*out)
+    taught = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & learn_from("doc_id")).agg(F.avg("label")).first()[0]
+    return fit(*out, share=1.0 if taught is None else taught)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

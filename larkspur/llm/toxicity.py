@@ -21,7 +21,8 @@ from __future__ import annotations
 
 import re
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,12 +44,14 @@ LOOKALIKES = {
 SEPARATORS = " .-_~'`·"
 #: Log cost of reading a look-alike, of dropping a repeated letter, of keeping a third and further one.
 COST_LOOKALIKE, COST_DROP, COST_LONG = 1.5, 0.5, 6.0
+#: Log cost of dropping one of two equal letters only.
+COST_PAIR = 4.0
 BEAM = 48
 #: Longest span decoded at once; a longer one is decoded piece by piece.
 SPAN = 64
 
 _FOLDED = {"à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ø": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y", "ß": "s"}
-_SPACED = re.compile(r"(?<!\S)[^\W_](?:[ .\-_~·]{1,2}[\w@$!|+(*]){2,}(?![\w@$!|+(*])")
+_SPACED = re.compile(r"(?<!\S)\S(?: {1,2}\S){2,}(?!\S)")
 _CODES = np.zeros(0x250, np.uint8)
 for _c in range(26):
     _CODES[97 + _c] = _CODES[65 + _c] = _c + 1
@@ -57,6 +60,9 @@ for _c, _to in _FOLDED.items():
     if len(_c.upper()) == 1:
         _CODES[ord(_c.upper())] = ord(_to) - 96
 
+_PLAIN = {chr(i): int(c) for i, c in enumerate(_CODES) if c}
+_WIDE = np.zeros(1 << 16, np.int32)
+_WIDE[: len(_CODES)] = _CODES
 
 # ---------------------------------------------------------------- the language model
 
@@ -68,11 +74,9 @@ def codes(text: str) -> np.ndarray:
 
 
 def count_grams(text: str, into: np.ndarray) -> None:
-    c = np.concatenate([np.zeros(3, np.uint8), codes(text), np.zeros(1, np.uint8)]).astype(np.int32)
-    if len(c) > 4:
-        k = ((c[:-3] * A + c[1:-2]) * A + c[2:-1]) * A + c[3:]
-        # nothing follows a run of boundaries but a first letter
-        into += np.bincount(k[(c[2:-1] > 0) | (c[3:] > 0)], minlength=A**4)
+    c = _WIDE[np.frombuffer(("   " + text + " ").encode("utf-16-le", "replace"), np.uint16)]
+    two = c[:-1] * np.int32(A) + c[1:]
+    into += np.bincount(two[:-2] * np.int32(A * A) + two[2:], minlength=A**4)
 
 
 def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -93,6 +97,8 @@ def gram_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
                     held, size = [], 0
             if held:
                 count_grams("\n\n\n".join(held), total)
+        # nothing follows a boundary but a first letter
+        total.reshape(A, A, A, A)[:, :, 0, 0] = 0
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["gram", "n"])
 
@@ -136,11 +142,12 @@ class Decoder:
         flat = self.flat
         # a state is the last three letters and the length of the run they end in; its value: log score, text
         states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        for c in span:
-            if c in SEPARATORS:
-                continue
-            plain = codes(c)[0]
-            options = [(int(plain), c, 0.0)] if plain else []
+        raw = [c for c in span if c not in SEPARATORS]
+        lengths = [n for _, same in groupby(raw) for n in [len(list(same))] for _ in range(n)]
+        for c, n in zip(raw, lengths, strict=True):
+            drop = COST_DROP if n > 2 else COST_PAIR
+            plain = _PLAIN.get(c, 0)
+            options = [(plain, c, 0.0)] if plain else []
             options += [(ord(x) - 96, x, COST_LOOKALIKE) for x in LOOKALIKES.get(c, "")]
             if not options:
                 options = [(0, c, 0.0)]
@@ -154,26 +161,23 @@ class Decoder:
                     if key not in new or s > new[key][0]:
                         new[key] = (s, text + char)
                     if repeat:
-                        s = score - cost - COST_DROP
+                        s = score - cost - drop
                         if (past, run) not in new or s > new[past, run][0]:
                             new[past, run] = (s, text)
             states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM]) if len(new) > BEAM else new
         return max(((s + float(flat[past * A]), t) for (past, _), (s, t) in states.items()), default=(0, ""))[1]
 
-    def restore(self, text: str) -> list[str]:
-        """Words of the text, lower case, disguised ones restored; every distinct one once."""
+    def restore(self, text: str) -> set[str]:
+        """Distinct words of the text, lower case, and what letters spaced apart spell."""
         low = text.lower()
         words = set(low.split())
-        out = set()
-        if _SPACED.search(low):
-            for m in _SPACED.finditer(low):
-                out.add(self.decode(m.group()))
-        for w in words:
-            out.add(w)
-        return list(out)
+        words.update(self.decode(m) for m in _SPACED.findall(low))
+        return words
 
 
 _ODD = re.compile(r"[0-9@$!|+(€£¡*]|(.)\1\1|[^\W_][.\-_~·][^\W_]")
+# all but word characters at the ends, except one look-alike that may be a first letter
+_OUTSIDE = re.compile(r"^[^\w@$!|]+|^[^\w]+(?=[@$!|]\w)|[^\w]+$")
 _EDGES = ".,;:!?\"'()[]{}<>«»“”‘’¡¿%&#*$|…"
 
 
@@ -181,43 +185,84 @@ def readings(word: str, decoder: Decoder) -> list[str]:
     """The forms of a word that features are made of: as it stands, and decoded where it looks disguised."""
     bare = word.strip(_EDGES)
     out = [bare] if bare else []
-    inner = word.strip(".,;:?\"'()[]{}<>«»“”")
-    if _ODD.search(inner) and sum(c.isalpha() for c in inner) >= 1 and len(inner) <= 4 * SPAN:
-        tries = {inner, inner.rstrip("!*")}
-        out += [d for d in (decoder.decode(x) for x in tries) if d and d not in out]
+    inner = _OUTSIDE.sub("", word)
+    if _ODD.search(inner) and len(inner) <= 4 * SPAN and any(map(str.isalpha, inner)):
+        read = decoder.decode(inner)
+        if read and read != bare:
+            out.append(read)
     return out
 
 
-def feature_ids(word: str, decoder: Decoder) -> list[int]:
-    out = []
-    for w in readings(word, decoder):
-        keys = ["w" + w] + [f"p{k}{w[:k]}" for k in (4, 5, 6) if len(w) > k] + [f"s{k}{w[-k:]}" for k in (4, 5, 6) if len(w) > k]
-        out += [zlib.crc32(k.encode("utf-8", "replace")) % SPACE_OF_FEATURES for k in keys]
-    return out
+def _id(kind: str, part: str) -> int:
+    return zlib.crc32(f"{kind}{part}".encode("utf-8", "replace")) % SPACE_OF_FEATURES
+
+
+class Features:
+    """Feature ids of words, those in ``among`` only if it is given. Remembers words and their ends."""
+
+    def __init__(self, decoder: Decoder, among=None):
+        self.decoder, self.among = decoder, among
+        self.words: dict[str, tuple] = {}
+        self.ends: dict[tuple[str, str], int | None] = {}
+
+    def _end(self, kind: str, part: str) -> int | None:
+        i = _id(kind, part)
+        i = i if self.among is None or i in self.among else None
+        if len(self.ends) > 500_000:
+            self.ends.clear()
+        self.ends[kind, part] = i
+        return i
+
+    def of(self, word: str) -> tuple:
+        got = self.words.get(word)
+        if got is None:
+            out, ends = [], self.ends
+            for w in readings(word, self.decoder):
+                n = len(w)
+                i = _id("w", w)
+                if self.among is None or i in self.among:
+                    out.append(i)
+                for k, p, q in ((4, "p4", "s4"), (5, "p5", "s5"), (6, "p6", "s6")):
+                    if n <= k:
+                        break
+                    for key in ((p, w[:k]), (q, w[-k:])):
+                        i = ends[key] if key in ends else self._end(*key)
+                        if i is not None:
+                            out.append(i)
+            got = tuple(out)
+            if len(self.words) > 500_000:
+                self.words.clear()
+            self.words[word] = got
+        return got
+
+    def document(self, text: str) -> set[int]:
+        return {i for ids in map(self.of, self.decoder.restore(text)) for i in ids}
 
 
 # ---------------------------------------------------------------- the classifier
 
+#: What a worker remembers of the words of one model, from task to task.
+_remembered: dict[int, Features] = {}
+
 
 @dataclass
 class Model:
-    decoder: Decoder
+    lm: np.ndarray
     weights: dict[int, float]
     bias: float
-    cache: dict[str, frozenset] = field(default_factory=dict)
+    key: int = 0
+
+    def __post_init__(self):
+        self.key = zlib.crc32(repr((sorted(self.weights.items()), self.bias)).encode() + self.lm.tobytes())
+
+    def features(self) -> Features:
+        if self.key not in _remembered:
+            _remembered.clear()
+            _remembered[self.key] = Features(Decoder(self.lm), self.weights)
+        return _remembered[self.key]
 
     def score(self, text: str) -> float:
-        found: set[int] = set()
-        cache = self.cache
-        for w in self.decoder.restore(text):
-            ids = cache.get(w)
-            if ids is None:
-                if len(cache) > 600_000:
-                    cache.clear()
-                ids = cache[w] = frozenset(i for i in feature_ids(w, self.decoder) if i in self.weights)
-            if ids:
-                found |= ids
-        g = self.bias + sum(self.weights[i] for i in sorted(found))
+        g = self.bias + sum(self.weights[i] for i in sorted(self.features().document(text)))
         return float(1 / (1 + np.exp(-min(max(g, -40.0), 40.0))))
 
 
@@ -263,24 +308,23 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, lm: np.ndarray, sample
     spark = docs.sparkSession
     ids = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & learn_from("doc_id"))
     drawn = [(r[0], r[1]) for r in ids.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
-    decoder = Decoder(lm)
     if not drawn:
-        return Model(decoder, {}, -40.0)
+        return Model(lm, {}, -40.0)
     small = spark.createDataFrame(drawn, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, label int")
 
     def run(batches):
         import pyarrow as pa
 
-        own = Decoder(lm)
+        own = Features(Decoder(lm))
         for b in batches:
-            x = [np.unique(np.array([i for w in own.restore(t or "") for i in feature_ids(w, own)], np.int32)).tobytes() for t in b.column(2).to_pylist()]
+            x = [np.array(sorted(own.document(t or "")), np.int32).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.binary())], ["h", "label", "x"])
 
     rows = docs.join(F.broadcast(small), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "label", "text")
     got = rows.mapInArrow(run, "h long, label int, x binary").orderBy("h", "label", "x").limit(sample).toArrow()
     y = got.column("label").to_numpy().astype(np.float64)
     x = [np.frombuffer(r, np.int32) for r in got.column("x").to_pylist()]
-    return Model(decoder, *fit_sparse(x, y))
+    return Model(lm, *fit_sparse(x, y))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
