@@ -15,9 +15,9 @@ sorted, encoded, and written by each task into files of its own, under names tha
 Only files named in the manifest, a Parquet table in the same folder, count; what a lost attempt left is
 never read.
 
-Encoding: byte-level BPE never merges across the pre-tokenizer's pieces, and a blank that stands alone always
-opens a piece. So texts are cut at such blanks and the library encodes each distinct chunk once; texts with
-runs of white space that begin with a blank, or with an added token's string, are encoded whole.
+Encoding: byte-level BPE never merges across the pre-tokenizer's pieces. No piece goes on over the start of a
+run of white space, nor from a letter to a mark like a full stop. So texts are cut there, and the library
+encodes each distinct chunk once; texts with an added token's string are encoded whole.
 
 Edge cases: a null text is an empty one (only the end id); documents of null id come first; repeated ids are
 separate rows, ordered by text; an empty table makes no file and an empty result; other columns aren't
@@ -31,6 +31,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,9 +45,11 @@ MAGIC = b"LKSPLN1\n"
 BLOCK = 1 << 16
 #: A task goes on with another file after so many ids.
 FILE_IDS = 1 << 27
-#: Chunks whose ids a worker remembers.
-REMEMBERED = 400_000
-_RUNS = re.compile(r"[ ]\s|[ ]\Z")
+#: Chunks whose ids a worker remembers: the first that it meets.
+REMEMBERED = 1_000_000
+# white space as the tokenizer's pattern has it, which differs from Python's
+_W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_CHUNK = re.compile(rf"[{_W}]*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])|[{_W}]*[^{_W}]+|[{_W}]+")
 
 
 # ---------------------------------------------------------------- planes
@@ -185,32 +188,32 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        chunks: list[tuple[int, list[str]]] = []
-        whole = []
+        whole = [i for i, t in enumerate(texts) if not self.cut or (self.added and self.added.search(t))]
+        out: dict[int, bytes] = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
+        get = self.known.get
+        found, missing = {}, {}
         for i, t in enumerate(texts):
-            if not self.cut or _RUNS.search(t) or (self.added and self.added.search(t)):
-                whole.append(i)
-            else:
-                first, *rest = t.split(" ")
-                chunks.append((i, [first, *map(" ".__add__, rest)]))
-        for i, ids in zip(whole, self._whole([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        known = self.known
-        new = set().union(*(c for _, c in chunks)) - known.keys() if chunks else set()
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set().union(*(c for _, c in chunks))
-        new = sorted(new)
+            if i not in out:
+                chunks = _CHUNK.findall(t)
+                found[i] = ids = list(map(get, chunks))
+                if None in ids:
+                    missing[i] = [(k, chunks[k]) for k, x in enumerate(ids) if x is None]
+        new = list({c for ks in missing.values() for _, c in ks})
+        fresh: dict[str, bytes] = {}
         for k in range(0, len(new), 20_000):
-            known.update(zip(new[k : k + 20_000], self._whole(new[k : k + 20_000]), strict=True))
-        for i, c in chunks:
-            out[i] = b"".join(map(known.__getitem__, c))
-        return out
+            fresh.update(zip(new[k : k + 20_000], self._whole(new[k : k + 20_000]), strict=True))
+        for i, ks in missing.items():
+            for k, c in ks:
+                found[i][k] = fresh[c]
+        if len(self.known) < REMEMBERED:
+            self.known.update(fresh)
+        for i, ids in found.items():
+            out[i] = b"".join(ids)
+        return [out[i] for i in range(len(texts))]
 
 
 def encoder(path: str, special_as_text: bool = False) -> Encoder:
