@@ -1 +1,26 @@
 """A jq-language query engine on Spark."""
+
+from __future__ import annotations
+
+
+def query(df, text: str, slurp: bool = False, tables: dict | None = None, variables: dict | None = None):
+    """Run a query over a DataFrame whose rows are objects.
+
+    Planned as built-in Spark operators where the query has such a form. Otherwise, for queries of one row at a
+    time, the kernel runs it in Arrow batches and the results are JSON texts (in_ord, res_ord, value).
+    """
+    from larkspur.operators import batches, columns
+
+    try:
+        return columns.plan(df, text, slurp, tables, variables)
+    except columns.Unsupported:
+        if slurp or tables:
+            raise
+        return batches.run(batches.as_json(df), text, variables).drop("error")
+
+
+def evaluate(text: str, value=None, **variables):
+    """The results of a query on one value, in this process."""
+    from larkspur.operators.kernel import Program
+
+    return list(Program(text, variables).run(value))
