@@ -29,10 +29,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most labelled documents that the regression is fitted on.
-SAMPLE = 12000
+SAMPLE = 8000
 #: Features kept of those seen in the sample.
 KEPT = 2000
-SPACE_OF_FEATURES = 1 << 22
+SPACE_OF_FEATURES = 1 << 21
 THRESHOLD = 0.3
 A = 27
 
@@ -272,22 +272,23 @@ def fit_sparse(rows: list[np.ndarray], y: np.ndarray, kept: int = KEPT, steps: i
     if not n1 or not n0:
         share = n1 / max(1.0, n1 + n0)
         return {}, float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    seen = np.bincount(at, minlength=SPACE_OF_FEATURES)
-    pos = np.bincount(at, weights=y[of], minlength=SPACE_OF_FEATURES)
-    neg = seen - pos
-    # difference of rates over its standard error
-    rate1, rate0 = (pos + 0.5) / (n1 + 1), (neg + 0.5) / (n0 + 1)
-    z = (rate1 - rate0) / np.sqrt(rate1 * (1 - rate1) / n1 + rate0 * (1 - rate0) / n0)
-    # rare tells are to be worth more than common drifts
-    z = np.where(seen >= 2, np.abs(z) * np.abs(np.log(rate1 / rate0)), 0)
-    best = np.sort(np.argsort(-z, kind="stable")[:kept])
-    best = best[z[best] > 1.5]
+    seen = np.zeros(SPACE_OF_FEATURES, np.int32)
+    pos = np.zeros(SPACE_OF_FEATURES, np.int32)
+    for r, label in zip(rows, y, strict=True):  # ids are distinct within a row
+        seen[r] += 1
+        if label:
+            pos[r] += 1
+    best = np.flatnonzero(seen >= 2)
+    p, n = pos[best].astype(np.float64), (seen[best] - pos[best]).astype(np.float64)
+    # difference of rates over its standard error; rare tells are to be worth more than common drifts
+    rate1, rate0 = (p + 0.5) / (n1 + 1), (n + 0.5) / (n0 + 1)
+    z = np.abs(rate1 - rate0) / np.sqrt(rate1 * (1 - rate1) / n1 + rate0 * (1 - rate0) / n0) * np.abs(np.log(rate1 / rate0))
+    top = np.argsort(-z, kind="stable")[:kept]
+    best = np.sort(best[top[z[top] > 1.5]])
     place = np.full(SPACE_OF_FEATURES, -1, np.int32)
     place[best] = np.arange(len(best))
-    col = place[at]
-    of, col = of[col >= 0], col[col >= 0]
+    few = [place[r][place[r] >= 0] for r in rows]
+    col, of = np.concatenate(few), np.repeat(np.arange(len(rows)), [len(r) for r in few])
     w, b = np.zeros(len(best)), float(np.log(n1 / n0))
     m, v = np.zeros(len(best) + 1), np.zeros(len(best) + 1)
     for t in range(1, steps + 1):
