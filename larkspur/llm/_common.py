@@ -14,6 +14,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Largest table, in estimated bytes, that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
+#: How to drop what an operator's tasks remember in a worker, by operator.
+forget: dict[str, object] = {}
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -64,3 +67,10 @@ def n_words(text: str) -> Column:
 def crc_mod(id_col: str, mod: int):
     """crc32 of the id's decimal text, modulo mod; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
+
+
+def alone(owner: str) -> None:
+    """At the start of a task: drop what other operators remember in this worker, so that one cache is held at a time."""
+    for name, drop in forget.items():
+        if name != owner:
+            drop()

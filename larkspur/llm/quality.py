@@ -26,6 +26,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm._common import alone
+
 #: Most positives, and most unlabelled documents, that the classifier is fitted on.
 SAMPLE = 6000
 THRESHOLD = 0.3
@@ -150,6 +152,7 @@ def _featured(docs: DataFrame, sample: int) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
+        alone("quality")
         for b in batches:
             x = [text_features(t or "").tobytes() for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["h", "x"])
@@ -187,6 +190,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         import pyarrow as pa
 
+        alone("quality")
         for b in batches:
             if not b.num_rows:
                 continue

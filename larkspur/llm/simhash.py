@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import BROADCAST_BYTES, materialize
+from larkspur.llm._common import BROADCAST_BYTES, alone, materialize
 
 #: Distinct fingerprints, those of least hash, that bit correlations and candidate counts are estimated from.
 SAMPLE = 2048
@@ -100,6 +100,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         import pyarrow as pa
 
+        alone("simhash")
         for b in batches:
             fps = [b"".join(w.to_bytes(8, "big") for w in fingerprint((t.as_py() or "").encode("utf-8", "replace"), shingle, words)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
@@ -325,6 +326,7 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_w
     def run(batches):
         import pyarrow as pa
 
+        alone("simhash")
         held = None
         for b in _with_end(batches):
             parts_of = [x for x in (held, b) if x is not None and x.num_rows]

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import materialize, scratch_path
+from larkspur.llm._common import alone, forget, materialize, scratch_path
 
 MAGIC = b"LKSPLN1\n"
 #: Ids in a block.
@@ -169,6 +169,7 @@ def _open(path: str):
 # ---------------------------------------------------------------- encoding
 
 _encoders: dict[tuple, Encoder] = {}
+forget["tokens"] = _encoders.clear
 
 
 class Encoder:
@@ -236,6 +237,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kin
         import pyarrow as pa
         from pyspark import TaskContext
 
+        alone("tokens")
         enc, part, seq = encoder(tokenizer, special_as_text), TaskContext.get().partitionId(), 0
         store, root = _open(folder)
         store.create_dir(root, recursive=True)

@@ -28,6 +28,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm._common import alone, forget
+
 #: Most labelled documents that the regression is fitted on.
 SAMPLE = 8000
 #: Features kept of those seen in the sample.
@@ -243,6 +245,7 @@ class Features:
 
 #: What a worker remembers of the words of one model, from task to task.
 _remembered: dict[int, Features] = {}
+forget["toxicity"] = _remembered.clear
 
 
 @dataclass
@@ -337,6 +340,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches):
         import pyarrow as pa
 
+        alone("toxicity")
         for b in batches:
             s = np.array([x for i in range(0, b.num_rows, 256) for x in map(model.score, (t or "" for t in b.column(at).slice(i, 256).to_pylist()))], np.float64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
