@@ -222,7 +222,10 @@ def fit(unknown: list[list[str]], steps: int = 150, rate: float = 0.1, decay: fl
 
 def train(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE_DOCS) -> Model:
     """Fit with lines of ``sample`` documents, drawn by hash of their text, as the unknown class."""
-    some = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t")).orderBy("h").limit(sample)
+    rows = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("t"))
+    # the hashes are drawn alone, so that no task gathers texts
+    drawn = F.broadcast(rows.select("h").distinct().orderBy("h").limit(sample))
+    some = rows.join(drawn, "h", "left_semi").dropDuplicates(["h"])
     lines = some.select("h", F.explode(F.slice(F.split("t", "\n"), 1, SAMPLE_LINES)).alias("line")).select("h", F.substring("line", 1, 2000).alias("line")).collect()
     return fit([words_of(r["line"]) for r in sorted(lines, key=lambda r: (r["h"], r["line"]))])
 
