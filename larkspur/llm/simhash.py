@@ -320,8 +320,8 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_w
                 F.when(own == j, 0).when(own < j, 1).otherwise(2).cast("short").alias("side"),
             ),
         )
-        alone = F.array(F.struct(F.col("group"), F.col("side")))
-        rows = r.withColumn("g", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs))).select("part", "key", "probe", "fp", F.col("g.group").alias("group"), F.col("g.side").alias("side"))
+        single = F.array(F.struct(F.col("group"), F.col("side")))
+        rows = r.withColumn("g", F.explode(F.when(F.col("blocks").isNull(), single).otherwise(pairs))).select("part", "key", "probe", "fp", F.col("g.group").alias("group"), F.col("g.side").alias("side"))
 
     def run(batches):
         import pyarrow as pa
