@@ -76,13 +76,13 @@ def _majority(h: np.ndarray) -> np.ndarray:
     return np.packbits(counts * 2 > n, bitorder="little").view(np.uint64)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> tuple[int, ...]:
-    """Fingerprint words of a UTF-8 text: A-Z lowered, words parted by ASCII blanks, XXH64 with seed 42."""
+def shingle_hashes(text: bytes, shingle: int = 3) -> np.ndarray:
+    """XXH64 with seed 42 of each shingle of a UTF-8 text: A-Z lowered, words parted by ASCII blanks."""
     from xxhash import xxh64_intdigest
 
     ws = text.lower().split()
     if not ws:
-        return (0,) * words
+        return np.array([], np.uint64)
     if len(ws) < shingle:
         hs = [xxh64_intdigest(b" ".join(ws), 42)]
     else:
@@ -90,7 +90,17 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> tuple[int, ...
         ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1)
         starts = np.concatenate([[0], ends[:-1]])[: len(ws) - shingle + 1].tolist()
         hs = [xxh64_intdigest(joined[a:b], 42) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
-    h = np.array(hs, np.uint64)
+    return np.array(hs, np.uint64)
+
+
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1) -> tuple[int, ...]:
+    """Fingerprint words of a UTF-8 text."""
+    return _fold(shingle_hashes(text, shingle), words)
+
+
+def _fold(h: np.ndarray, words: int) -> tuple[int, ...]:
+    if not len(h):
+        return (0,) * words
     return tuple(_majority(np.stack([h, *(_mix(h, k) for k in range(1, words))], axis=1)).tolist())
 
 
@@ -298,10 +308,42 @@ def forest(group: np.ndarray, probe: np.ndarray, side: np.ndarray, w: np.ndarray
     return child, label[child]
 
 
-def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_words: int, distance: int, block: int = BLOCK) -> DataFrame:
+def every_link(group: np.ndarray, probe: np.ndarray, side: np.ndarray, w: np.ndarray, node_words: int, distance: int, per_mille: int):
+    """Yields indices (a, b) of all links inside runs of equal ``group``.
+
+    w: node_words of fingerprint, then a word that begins with the 32-bit size of the shingle set, and last one of the
+    class known already. Rows of one class aren't paired, nor sets whose sizes alone rule the similarity out.
+    """
+    n = len(group)
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    sizes = np.diff(np.concatenate([starts, [n]]))
+    fp, many, known = w[:, :node_words], (w[:, node_words] >> np.uint64(32)).astype(np.int64), w[:, -1]
+
+    def linked(a, b):
+        ok = ~(probe[a] & probe[b]) & ((side[a] == 0) | (side[a] != side[b])) & (known[a] != known[b])
+        ok &= np.minimum(many[a], many[b]) * 1000 >= np.maximum(many[a], many[b]) * per_mille
+        a, b = a[ok], b[ok]
+        ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= distance
+        return a[ok], b[ok]
+
+    member = np.repeat(np.where(sizes <= 64, sizes, 0), sizes)
+    place = np.arange(n) - np.repeat(starts, sizes)
+    for k in range(1, int(member.max(initial=0))):
+        a = np.flatnonzero(place + k < member)
+        yield linked(a, a + k)
+    for s, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        for i in range(s, s + m, 512):
+            for j in range(i, s + m, 512):
+                x, y = np.meshgrid(np.arange(i, min(i + 512, s + m)), np.arange(j, min(j + 512, s + m)), indexing="ij")
+                upper = x < y
+                yield linked(x[upper], y[upper])
+
+
+def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_words: int, distance: int, block: int = BLOCK, per_mille: int | None = None) -> DataFrame:
     """a, b: nodes linked; their connected components are those of all links that the plan finds.
 
-    fps: node (the first node_words words, on which distances are taken) and full (all words).
+    fps: node (its first node_words words are those that distances are taken on) and full (all words).
+    per_mille: give every link that ``every_link`` finds, not a spanning forest.
     """
     rows = bucket_rows(fps, parts, words)
     counts = rows.groupBy("part", "key").count().where(F.col("count") > block)
@@ -341,8 +383,15 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_w
                 continue
             t = t.slice(0, cut)
             fp = t.column("fp").combine_chunks()
-            child, root = forest(group[:cut], t.column("probe").to_numpy(), t.column("side").to_numpy(), _words(fp, node_words), distance)
-            if len(child):
+            w = _words(fp, len(fp[0].as_py()) // 8)
+            probe, side = t.column("probe").to_numpy(), t.column("side").to_numpy()
+            if per_mille is None:
+                found = [forest(group[:cut], probe, side, w[:, :node_words], distance)]
+            else:
+                found = every_link(group[:cut], probe, side, w, node_words, distance, per_mille)
+            for child, root in found:
+                if not len(child):
+                    continue
                 yield pa.RecordBatch.from_arrays([fp.take(pa.array(child)), fp.take(pa.array(root))], ["a", "b"])
 
     out = rows.select("group", "probe", "side", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
@@ -397,3 +446,90 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=3
     ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = materialize(named.join(ids, "root").select(F.col("node").alias("of_node"), "component_id"), "simhash-named")
     return fps.join(named, F.substring("fp", 1, 8 * node_words) == named["of_node"]).select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- verified similarity
+
+#: Bytes that name a shingle set: its size in 4, then a hash of it.
+SET_BYTES = 16
+
+
+def _set_name(h: np.ndarray) -> bytes:
+    from xxhash import xxh3_128_digest
+
+    return len(h).to_bytes(4, "big") + xxh3_128_digest(h.tobytes())[: SET_BYTES - 4]
+
+
+def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """name and hs, the distinct shingle hashes, of each text. docs: doc_id, text."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        alone("simhash")
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                hs = [np.unique(shingle_hashes((t or "").encode("utf-8", "replace"), shingle)) for t in b.column(0).slice(i, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, hs), pa.binary()), pa.array([h.view(np.int64) for h in hs], pa.list_(pa.int64()))], ["name", "hs"])
+
+    return docs.select("text").mapInArrow(run, "name binary, hs array<bigint>")
+
+
+def _verified(found: DataFrame, distinct: DataFrame, docs: DataFrame, node_bytes: int, shingle: int, per_mille: int) -> DataFrame:
+    """The links whose shingle sets have the similarity, by exact intersection."""
+    found = materialize(found, "simhash-candidates")
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
+    need = materialize(distinct.join(ends, "node", "left_semi").select("least_id", F.substring("node", node_bytes + 1, SET_BYTES).alias("name")), "simhash-need")
+    small = need.count() * 16 <= BROADCAST_BYTES
+    ids, names = need.select(F.col("least_id").alias("doc_id")).distinct(), need.select("name").distinct()
+    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
+    sets = _sets(texts, shingle).join(F.broadcast(names) if small else names, "name", "left_semi")
+    sets = materialize(sets.groupBy("name").agg(F.first("hs").alias("hs")), "simhash-sets")
+    a, b = (sets.select(F.col("name").alias(f"{x}_name"), F.col("hs").alias(f"{x}_hs")) for x in "ab")
+    name = lambda x: F.substring(x, node_bytes + 1, SET_BYTES)
+    rows = found.join(a, name("a") == a["a_name"]).join(b, name("b") == b["b_name"])
+    shared = F.size(F.array_intersect("a_hs", "b_hs")).cast("long")
+    return rows.where(shared * 1000 >= per_mille * (F.size("a_hs") + F.size("b_hs") - shared)).select("a", "b")
+
+
+def similar(docs: DataFrame, shingle=5, similarity=0.8, words=12, node_words=8, distance=128, recall=0.999, flips=None, sample=SAMPLE, block=BLOCK) -> DataFrame:
+    """doc_id and component_id (least doc_id of the class): a row for each input row.
+
+    docs: doc_id (no nulls) and text. Texts link whose distinct shingles have a Jaccard similarity of at least
+    ``similarity`` (in thousandths), all counted; fingerprints only choose the pairs to be compared. A first round takes a spanning
+    forest of the links in a quarter of the keys; the second compares all pairs that the plan finds between what that left apart.
+    """
+    per_mille = round(similarity * 1000)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        alone("simhash")
+        for b in batches:
+            fps, names = [], []
+            for t in b.column(1):
+                h = shingle_hashes((t.as_py() or "").encode("utf-8", "replace"), shingle)
+                fps.append(b"".join(w.to_bytes(8, "big") for w in _fold(h, words)))
+                names.append(fps[-1][: 8 * node_words] + _set_name(np.unique(h)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(names, pa.binary())], ["doc_id", "full", "node"])
+
+    fps = materialize(docs.mapInArrow(run, "doc_id long, full binary, node binary"), "simhash-fps")
+    distinct = materialize(fps.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("full").alias("full")), "simhash-distinct")
+    n = distinct.count()
+    some = [bytes(r[0]) for r in distinct.select("full").orderBy(F.xxhash64("full"), "full").limit(sample).collect()]
+    if n < 2:
+        return fps.select("doc_id", F.lit(distinct.agg(F.min("least_id")).first()[0]).cast("long").alias("component_id"))
+    parts = plan(np.frombuffer(b"".join(some), ">u8").astype(np.uint64).reshape(-1, words), n, distance, recall, flips)
+    check = lambda found: materialize(_verified(found, distinct, docs, 8 * node_words, shingle, per_mille), "simhash-links")
+    first = check(links(distinct, [(p, 0) for p, _ in parts[::4]], words, node_words, distance, block))
+    roots = components(first)
+    known = distinct.join(roots, "node", "left").select(F.concat("node", F.unhex(F.lpad(F.hex(F.xxhash64(F.coalesce("root", "node"))), 16, "0"))).alias("node"), "full")
+    bare = lambda x: F.expr(f"substring({x}, 1, length({x}) - 8)").alias(x)
+    rest = links(known, parts, words, node_words, distance, block, per_mille).select(bare("a"), bare("b"))
+    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    roots = components(first.unionByName(check(rest)))
+    named = distinct.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = materialize(named.join(ids, "root").select("node", "component_id"), "simhash-named")
+    return fps.join(named, "node").select("doc_id", "component_id")

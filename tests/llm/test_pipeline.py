@@ -31,6 +31,23 @@ def test_deduplicate(spark, documents):
     assert P.deduplicate(spark, documents([]), "").count() == 0
 
 
+def test_deduplicate_around_the_threshold(spark, documents):
+    rng = random.Random(11)
+    vocab = [f"word{i}" for i in range(5000)]
+    rows = []
+    for i in range(150):
+        w = [rng.choice(vocab) for _ in range(200)]
+        rows.append((i, " ".join(w), "s"))
+        edits = rng.choice([3, 4, 4, 4, 5, 6, 7])
+        for k in range(edits):
+            w[5 + 190 * k // edits + rng.randrange(8)] = f"edit{k}"
+        rows.append((1000 + i, " ".join(w), "s"))
+    alike = [jaccard(rows[2 * i][1], rows[2 * i + 1][1]) for i in range(150)]
+    assert sum(0.65 < j < 0.8 for j in alike) > 40 and sum(0.8 <= j < 0.85 for j in alike) > 20
+    want = sorted([*range(150), *(1000 + i for i, j in enumerate(alike) if j < 0.8)])
+    assert sorted(r.doc_id for r in P.deduplicate(spark, documents(rows), "").collect()) == want
+
+
 def test_whole_pipeline(spark):
     out = P.run(spark, "/root/testdata/sf0.001").collect()
     assert len(out) > 100 and {"doc_id", "start", "n_tokens", "ids_crc32"} == set(out[0].asDict())
