@@ -496,7 +496,7 @@ def similar(docs: DataFrame, shingle=5, similarity=0.8, words=12, node_words=8,
     """doc_id and component_id (least doc_id of the class): a row for each input row.
 
     docs: doc_id (no nulls) and text. Texts link whose distinct shingles have a Jaccard similarity of at least
-    ``similarity`` (in thousandths), all counted; fingerprints only choose the pairs to be compared. A first round takes a spanning
+    ``similarity`` (in thousandths), all counted; fingerprints, of distinct shingles too, only choose the pairs to be compared. A first round takes a spanning
     forest of the links in a quarter of the keys; the second compares all pairs that the plan finds between what that left apart.
     """
     per_mille = round(similarity * 1000)
@@ -509,9 +509,9 @@ def similar(docs: DataFrame, shingle=5, similarity=0.8, words=12, node_words=8,
         for b in batches:
             fps, names = [], []
             for t in b.column(1):
-                h = shingle_hashes((t.as_py() or "").encode("utf-8", "replace"), shingle)
+                h = np.unique(shingle_hashes((t.as_py() or "").encode("utf-8", "replace"), shingle))
                 fps.append(b"".join(w.to_bytes(8, "big") for w in _fold(h, words)))
-                names.append(fps[-1][: 8 * node_words] + _set_name(np.unique(h)))
+                names.append(fps[-1][: 8 * node_words] + _set_name(h))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(names, pa.binary())], ["doc_id", "full", "node"])
 
     fps = materialize(docs.mapInArrow(run, "doc_id long, full binary, node binary"), "simhash-fps")

@@ -48,6 +48,16 @@ def test_deduplicate_around_the_threshold(spark, documents):
     assert sorted(r.doc_id for r in P.deduplicate(spark, documents(rows), "").collect()) == want
 
 
+def test_deduplicate_counts_a_repeated_line_once(spark, documents):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"word{rng.randrange(5000)}" for _ in range(n))
+    line, one = text(12), text(300)
+    apart = [(i, "\n".join([line] * 20 + [text(300)]), "s") for i in range(20)]
+    same = [(100, one + "\n" + "\n".join([line] * 2), "s"), (101, one + "\n" + "\n".join([line] * 40), "s")]
+    assert jaccard(same[0][1], same[1][1]) == 1 and jaccard(apart[0][1], apart[1][1]) < 0.1
+    assert sorted(r.doc_id for r in P.deduplicate(spark, documents(apart + same), "").collect()) == [*range(20), 100]
+
+
 def test_whole_pipeline(spark):
     out = P.run(spark, "/root/testdata/sf0.001").collect()
     assert len(out) > 100 and {"doc_id", "start", "n_tokens", "ids_crc32"} == set(out[0].asDict())
