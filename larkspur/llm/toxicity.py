@@ -5,7 +5,7 @@ every document: each task counts its own texts in one dense array, and the count
 most 27**4 rows reach the driver whatever the corpus.
 
 Spans that look disguised are decoded by Viterbi search over a lattice: a look-alike stands for a letter
-("1d10t"), separators between single letters are dropped ("i d i o t", "i.d.i.o.t"), runs of a repeated
+("1d10t"), separators between letters are dropped ("i d i o t", "i.d.i.o.t") or part words ("y o u i d i o t"), runs of a repeated
 letter shrink to one or two ("idiooot"). The language model scores the paths and the channel charges each
 change. All other words are taken as they are.
 
@@ -49,8 +49,10 @@ COST_LOOKALIKE, COST_DROP, COST_LONG = 1.5, 0.5, 6.0
 #: Log cost of dropping one of two equal letters only.
 COST_PAIR = 4.0
 BEAM = 48
-#: Longest span decoded at once; a longer one is decoded piece by piece.
-SPAN = 64
+#: Log cost of parting words at a separator, and of not doing so at two blanks in a span of single ones.
+COST_PART, COST_JOIN = 1.0, 6.0
+#: Longest span that is remembered.
+SPAN = 256
 
 _FOLDED = {"à": "a", "á": "a", "â": "a", "ã": "a", "ä": "a", "å": "a", "ç": "c", "è": "e", "é": "e", "ê": "e", "ë": "e", "ì": "i", "í": "i", "î": "i", "ï": "i", "ñ": "n", "ò": "o", "ó": "o", "ô": "o", "õ": "o", "ö": "o", "ø": "o", "ù": "u", "ú": "u", "û": "u", "ü": "u", "ý": "y", "ÿ": "y", "ß": "s"}
 _SPACED = re.compile(r"(?<!\S)\S(?: {1,2}\S){2,}(?!\S)")
@@ -131,49 +133,77 @@ class Decoder:
         self.seen: dict[str, str] = {}
 
     def decode(self, span: str) -> str:
-        """The likeliest letters behind a disguised span."""
+        """The likeliest words behind a disguised span, parted by blanks."""
         got = self.seen.get(span)
         if got is None:
-            got = "".join(self._viterbi(span[i : i + SPAN]) for i in range(0, len(span), SPAN))
+            got = self._viterbi(span)
             if len(self.seen) > 100_000:
                 self.seen.clear()
-            self.seen[span] = got
+            if len(span) <= SPAN:
+                self.seen[span] = got
         return got
 
     def _viterbi(self, span: str) -> str:
         flat = self.flat
-        # a state is the last three letters and the length of the run they end in; its value: log score, text
-        states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-        raw = [c for c in span if c not in SEPARATORS]
+        # a state is the last three letters and the length of the run they end in; its value: log score, and the text
+        # as (text before, character), so that a long span costs no copies
+        states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        raw, gaps, gap = [], [], ""
+        for c in span:
+            if c in SEPARATORS:
+                gap += c
+            else:
+                raw.append(c)
+                gaps.append(gap)
+                gap = ""
+        mixed = any(len(g) == 1 for g in gaps[1:])
         lengths = [n for _, same in groupby(raw) for n in [len(list(same))] for _ in range(n)]
-        for c, n in zip(raw, lengths, strict=True):
+        for i, (c, n, gap) in enumerate(zip(raw, lengths, gaps, strict=True)):
+            if i and gap:
+                wide = mixed and gap.isspace() and len(gap) > 1
+                parted: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+                for (past, run), (score, text) in states.items():
+                    joined = score - (COST_JOIN if wide else 0.0)
+                    if (past, run) not in parted or joined > parted[past, run][0]:
+                        parted[past, run] = (joined, text)
+                    if past % A:
+                        s = score - (0.0 if wide else COST_PART) + float(flat[past * A])
+                        key = (past * A % A**3, 1)
+                        if key not in parted or s > parted[key][0]:
+                            parted[key] = (s, (text, " "))
+                states = parted
             drop = COST_DROP if n > 2 else COST_PAIR
             plain = _PLAIN.get(c, 0)
             options = [(plain, c, 0.0)] if plain else []
             options += [(ord(x) - 96, x, COST_LOOKALIKE) for x in LOOKALIKES.get(c, "")]
             if not options:
                 options = [(0, c, 0.0)]
-            new: dict[tuple[int, int], tuple[float, str]] = {}
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (past, run), (score, text) in states.items():
                 last = past % A
                 for code, char, cost in options:
                     repeat = code and code == last
                     s = score - cost + float(flat[past * A + code]) - (COST_LONG if repeat and run >= 2 else 0)
-                    key = ((past * A + code) % A**3, run + 1 if repeat else 1)
+                    key = ((past * A + code) % A**3, min(run + 1, 3) if repeat else 1)
                     if key not in new or s > new[key][0]:
-                        new[key] = (s, text + char)
+                        new[key] = (s, (text, char))
                     if repeat:
                         s = score - cost - drop
                         if (past, run) not in new or s > new[past, run][0]:
                             new[past, run] = (s, text)
             states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM]) if len(new) > BEAM else new
-        return max(((s + float(flat[past * A]), t) for (past, _), (s, t) in states.items()), default=(0, ""))[1]
+        text = max(((s + float(flat[past * A]), t) for (past, _), (s, t) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while text is not None:
+            text, char = text
+            out.append(char)
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> set[str]:
         """Distinct words of the text, lower case, and what letters spaced apart spell."""
         low = text.lower()
         words = set(low.split())
-        words.update(self.decode(m) for m in _SPACED.findall(low))
+        words.update(w for m in _SPACED.findall(low) for w in self.decode(m).split())
         return words
 
 
@@ -188,10 +218,8 @@ def readings(word: str, decoder: Decoder) -> list[str]:
     bare = word.strip(_EDGES)
     out = [bare] if bare else []
     inner = _OUTSIDE.sub("", word)
-    if _ODD.search(inner) and len(inner) <= 4 * SPAN and any(map(str.isalpha, inner)):
-        read = decoder.decode(inner)
-        if read and read != bare:
-            out.append(read)
+    if _ODD.search(inner) and len(inner) <= SPAN and any(map(str.isalpha, inner)):
+        out += [w for w in dict.fromkeys(decoder.decode(inner).split()) if w != bare]
     return out
 
 

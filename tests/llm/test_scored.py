@@ -57,6 +57,20 @@ def test_viterbi_restores(documents):
     assert len(d.decode("a1" * 500)) > 0
 
 
+def small_decoder(documents):
+    rng = random.Random(6)
+    text = " ".join(rng.choice(["idiot", "moron", "you", "are", "an", "go", "away", "green", "letter", "river"]) for _ in range(5000))
+    return toxicity.Decoder(toxicity.language_model(toxicity.gram_counts(documents([(1, text, "s")]))))
+
+
+def test_words_spaced_out_are_parted(documents):
+    d = small_decoder(documents)
+    for raw in ("y o u i d i o t g o a w a y", "y o u  i d i o t  g o  a w a y", "y 0 u 1 d 1 o t g o a w a y"):
+        assert {"you", "idiot", "go", "away"} <= d.restore(raw), raw
+    assert toxicity.readings("an.idiot.you", d)[1:] == ["an", "idiot", "you"]
+    assert toxicity.readings("an-1d10t-you", d)[1:] == ["an", "idiot", "you"]
+
+
 def test_toxicity(documents, spark, odd):
     rng = random.Random(7)
     rows, labels = [], []
