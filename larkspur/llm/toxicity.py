@@ -218,7 +218,7 @@ def readings(word: str, decoder: Decoder) -> list[str]:
     bare = word.strip(_EDGES)
     out = [bare] if bare else []
     inner = _OUTSIDE.sub("", word)
-    if _ODD.search(inner) and len(inner) <= SPAN and any(map(str.isalpha, inner)):
+    if _ODD.search(inner) and any(map(str.isalpha, inner)):
         out += [w for w in dict.fromkeys(decoder.decode(inner).split()) if w != bare]
     return out
 

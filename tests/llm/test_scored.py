@@ -71,6 +71,13 @@ def test_words_spaced_out_are_parted(documents):
     assert toxicity.readings("an-1d10t-you", d)[1:] == ["an", "idiot", "you"]
 
 
+def test_long_tokens_are_decoded(documents):
+    d = small_decoder(documents)
+    assert toxicity.readings("id" + "i" * 400 + "ot", d)[1:] == ["idiot"]
+    assert set(toxicity.readings(".".join(["y.o.u.i.d.i.o.t.g.o.a.w.a.y"] * 20), d)[1:]) == {"you", "idiot", "go", "away"}
+    assert len(d.decode("a1" * 20000)) > 0
+
+
 def test_toxicity(documents, spark, odd):
     rng = random.Random(7)
     rows, labels = [], []
