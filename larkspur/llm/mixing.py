@@ -7,7 +7,7 @@ are fixed-point integers (1 / 2**24), so sums are exact and reruns agree.
 
 The order is by size class, then a residue of the id's MD5, then size and id. Sorting by size stratifies the
 systematic sample, so the words taken, not only the documents, come near the target. A source is split
-into blocks (size class, residue); only block counts are prefix-summed across a source, so a source
+into blocks (size class, residue, finer size); only block counts are prefix-summed across a source, so a source
 with a third of all rows is spread over thousands of groups, and over more the more rows there are.
 
 Edge cases: a null text has size 0; a null source is a source of its own, sorted last; repeated ids are
@@ -24,18 +24,19 @@ from pyspark.sql import functions as F
 from larkspur.llm._common import broadcast_if_small, materialize, n_words
 
 ONE = 1 << 24
-#: Blocks of a size class within a source, at least, and rows for each further one.
+#: Residues of a size class within a source, and rows for each before size classes are cut into finer blocks.
 RESIDUES, ROWS = 64, 100_000
 
 
-def residues(n_rows: int) -> int:
-    out = RESIDUES
-    while out * ROWS < n_rows:
-        out *= 2
+def fineness(n_rows: int) -> int:
+    """Further bits of the size that blocks are cut by. The order within a residue is by size, so they change no order."""
+    out = 0
+    while (RESIDUES << out) * ROWS < n_rows and out < 32:
+        out += 1
     return out
 
 
-def with_blocks(sized: DataFrame, id_col: str, size_col: str, n_residues: int = RESIDUES, prefix: str = "__mx_") -> DataFrame:
+def with_blocks(sized: DataFrame, id_col: str, size_col: str, fine: int = 0, prefix: str = "__mx_") -> DataFrame:
     p = prefix
     digest = f"conv(substring(md5(coalesce(cast(`{id_col}` AS string), '')), 1, 8), 16, 10)"
     return sized.withColumn(
@@ -44,7 +45,7 @@ def with_blocks(sized: DataFrame, id_col: str, size_col: str, n_residues: int =
             f"CASE WHEN `{size_col}` <= 0 THEN 0 ELSE length(bin(`{size_col}`)) * 8 + "
             f"cast(shiftright(`{size_col}`, greatest(length(bin(`{size_col}`)) - 4, 0)) & 7 AS int) END"
         ),
-    ).withColumn(f"{p}sub", F.expr(f"cast(cast({digest} AS bigint) % {n_residues} AS int)"))
+    ).withColumn(f"{p}sub", F.expr(f"cast(cast({digest} AS bigint) % {RESIDUES} AS int)")).withColumn(f"{p}fine", F.expr(f"shiftright(`{size_col}`, greatest(length(bin(`{size_col}`)) - {4 + fine}, 0))"))
 
 
 def source_targets(blocks: DataFrame, weights=(5, 2, 1), cap: int = 3, seed: str = "mix-1") -> DataFrame:
@@ -87,15 +88,15 @@ def mix(sized: DataFrame, blocks: DataFrame, n_blocks: int, id_col="doc_id", siz
     through. blocks: its counts, from ``count_blocks``. n_blocks: rows of it, for the broadcasts' bound.
     """
     targets = source_targets(blocks, weights, cap, seed)
-    ahead = W.partitionBy("source").orderBy("__mx_bin", "__mx_sub").rowsBetween(W.unboundedPreceding, -1)
-    at = blocks.select("source", "__mx_bin", "__mx_sub", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    ahead = W.partitionBy("source").orderBy("__mx_bin", "__mx_sub", "__mx_fine").rowsBetween(W.unboundedPreceding, -1)
+    at = blocks.select("source", "__mx_bin", "__mx_sub", "__mx_fine", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
     at = at.join(broadcast_if_small(targets, n_blocks, 200), at["source"].eqNullSafe(targets["source"])).select(
-        at["source"].alias("__mx_source"), F.col("__mx_bin").alias("__mx_b"), F.col("__mx_sub").alias("__mx_s"), "ahead", targets["source_size"].alias("source_size"), "target", "expect", "offset"
+        at["source"].alias("__mx_source"), F.col("__mx_bin").alias("__mx_b"), F.col("__mx_sub").alias("__mx_s"), F.col("__mx_fine").alias("__mx_f"), "ahead", targets["source_size"].alias("source_size"), "target", "expect", "offset"
     )
     at = at.select(*[F.col(c).alias(c if c.startswith("__mx_") else f"__mx_{c}") for c in at.columns])
-    inside = W.partitionBy(source_col, "__mx_bin", "__mx_sub").orderBy(size_col, F.col(id_col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy(source_col, "__mx_bin", "__mx_sub", "__mx_fine").orderBy(size_col, F.col(id_col).asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow)
     rows = sized.withColumn("__mx_rank", F.count(F.lit(1)).over(inside))
-    same = rows[source_col].eqNullSafe(at["__mx_source"]) & (rows["__mx_bin"] == at["__mx_b"]) & (rows["__mx_sub"] == at["__mx_s"])
+    same = rows[source_col].eqNullSafe(at["__mx_source"]) & (rows["__mx_bin"] == at["__mx_b"]) & (rows["__mx_sub"] == at["__mx_s"]) & (rows["__mx_fine"] == at["__mx_f"])
     rows = rows.join(broadcast_if_small(at, n_blocks, 120), same)
     rows = rows.withColumn("__mx_end", F.col("__mx_expect") * (F.col("__mx_ahead") + F.col("__mx_rank")) + F.col("__mx_offset"))
     copies = F.shiftright("__mx_end", 24) - F.shiftright(F.col("__mx_end") - F.col("__mx_expect"), 24)
@@ -109,7 +110,7 @@ def mix(sized: DataFrame, blocks: DataFrame, n_blocks: int, id_col="doc_id", siz
 
 
 def count_blocks(sized: DataFrame, size_col="size", source_col="source") -> DataFrame:
-    return sized.groupBy(F.col(source_col).alias("source"), "__mx_bin", "__mx_sub").agg(F.count(F.lit(1)).alias("n"), F.sum(size_col).alias("w"))
+    return sized.groupBy(F.col(source_col).alias("source"), "__mx_bin", "__mx_sub", "__mx_fine").agg(F.count(F.lit(1)).alias("n"), F.sum(size_col).alias("w"))
 
 
 def expand(mixed: DataFrame, columns: list[str]) -> DataFrame:
@@ -123,7 +124,7 @@ def mix_documents(docs: DataFrame, text_col="text", id_col="doc_id", source_col=
     The texts are read twice if docs holds them: once to count blocks, once for the result.
     """
     sized = docs.withColumn("mix_size", n_words(text_col))
-    n = residues(docs.count())
+    n = fineness(docs.count())
     sized = with_blocks(sized, id_col, "mix_size", n)
     blocks = materialize(count_blocks(sized, "mix_size", source_col), "mix-blocks")
     return mix(sized, blocks, blocks.count(), id_col, "mix_size", source_col, weights, cap, seed)

@@ -12,7 +12,7 @@ from larkspur.llm._common import crc_mod, materialize, n_words, table
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
     sized = materialize(docs, "mix")
-    sized = mixing.with_blocks(sized, "doc_id", "size", mixing.residues(sized.count()))
+    sized = mixing.with_blocks(sized, "doc_id", "size", mixing.fineness(sized.count()))
     blocks = materialize(mixing.count_blocks(sized), "mix-blocks")
     mixed = mixing.mix(sized, blocks, blocks.count())
     return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"))

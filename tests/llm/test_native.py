@@ -133,3 +133,11 @@ def test_decontamination(documents, spark, odd):
     assert clean.count() == sum(d not in {x[0] for x in want} for d, _, _ in rows) and clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert not python_nodes(clean)
     assert decontam.contaminated(documents([]), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_mixing_takes_the_same_documents_whatever_the_block_size(documents, monkeypatch):
+    docs = documents([(i, "word " * (i * 37 % 301), "abc"[i % 3]) for i in range(600)])
+    taken = lambda: sorted((r.doc_id, r.mix_copies) for r in mixing.mix_documents(docs).select("doc_id", "mix_copies").collect())
+    before = taken()
+    monkeypatch.setattr(mixing, "ROWS", 1)
+    assert taken() == before
