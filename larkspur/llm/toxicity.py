@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 from larkspur.llm._common import alone, forget
 
 #: Most labelled documents that the regression is fitted on.
-SAMPLE = 8000
+SAMPLE = 12000
 #: Features kept of those seen in the sample.
 KEPT = 2000
-SPACE_OF_FEATURES = 1 << 21
+SPACE_OF_FEATURES = 1 << 22
 THRESHOLD = 0.3
 A = 27
 

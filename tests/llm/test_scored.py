@@ -78,6 +78,10 @@ def test_long_tokens_are_decoded(documents):
     assert len(d.decode("a1" * 20000)) > 0
 
 
+def test_toxicity_keeps_its_sample_and_feature_space():
+    assert (toxicity.SAMPLE, toxicity.SPACE_OF_FEATURES) == (12000, 1 << 22)
+
+
 def test_toxicity(documents, spark, odd):
     rng = random.Random(7)
     rows, labels = [], []
