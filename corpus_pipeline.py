@@ -11,15 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm import decontam, mixing, quality, simhash, tokens
-from larkspur.llm._common import crc_mod, materialize, table
+from larkspur.llm._common import BROADCAST_BYTES, crc_mod, fresh, materialize, table
 
 #: Similarity, as the share of 5-word shingles in common, from which documents are near duplicates.
 SIMILARITY = 0.8
 #: Fingerprint words that keys are cut from, and leading ones that distances are taken on.
 WORDS, NODE_WORDS = 12, 8
-#: Differing bits up to which pairs are compared exactly. Of 512 bits texts of similarity 0.8 differ in 78 on average, with a
-#: deviation of 8; the shortest, of 4 and 5 shingles, in 96.
-DISTANCE = 128
+#: Differing bits up to which pairs are of one loose class, inside which all pairs are compared exactly. Of 512 bits texts of similarity
+#: 0.8 differ in 78 on average, with a deviation of 8; the shortest, of 4 and 5 shingles, in 96.
+DISTANCE = 104
 #: Share of the bits in which texts of similarity 0.8 differ, and the share of such pairs that probing has to find.
 FLIPS, RECALL = 0.152, 0.999
 
@@ -32,12 +32,19 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of least id of each class of near duplicates. A null id is named by its text."""
-    named = F.coalesce(F.col("doc_id"), -F.abs(F.shiftright(F.xxhash64("text"), 1)) - 1)
-    found = simhash.similar(docs.select(named.alias("doc_id"), "text"), shingle=5, similarity=SIMILARITY, words=WORDS, node_words=NODE_WORDS, distance=DISTANCE, recall=RECALL, flips=FLIPS)
-    kept = materialize(found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct(), "pipeline-kept")
-    rows = docs.withColumn("__id", named)
-    return rows.join(kept, rows["__id"] == kept["__kept"], "left_semi").dropDuplicates(["__id"]).select(*docs.columns)
+    """Keep the row of least (doc_id, hash of the text) of each class of near duplicates, nulls last.
+
+    Rows of equal doc_id and unlike texts are of classes of their own; of rows equal in both one stays.
+    """
+    found = simhash.similar(docs.select("doc_id", "text"), shingle=5, similarity=SIMILARITY, words=WORDS, node_words=NODE_WORDS, distance=DISTANCE, recall=RECALL, flips=FLIPS)
+    of_id, of_hash, n = (fresh(docs.columns, x) for x in ("of_id", "of_hash", "rows"))
+    kept = materialize(found.where("first").groupBy(F.col("doc_id").alias(of_id), F.col("text_hash").alias(of_hash)).agg(F.count(F.lit(1)).alias(n)), "pipeline-kept")
+    small = F.broadcast(kept) if kept.count() * 24 <= BROADCAST_BYTES else kept
+    rows = docs.join(small, docs["doc_id"].cast("long").eqNullSafe(small[of_id]) & (F.xxhash64(docs["text"].cast("string")) == small[of_hash]))
+    once = rows.where(F.col(n) == 1).select(*docs.columns)
+    if kept.where(F.col(n) > 1).isEmpty():
+        return once
+    return once.unionByName(rows.where(F.col(n) > 1).dropDuplicates([of_id, of_hash]).select(*docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

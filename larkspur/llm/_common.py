@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,8 +22,10 @@ _written: list[tuple[SparkSession, str]] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; one of our own only where the session names none."""
+    """The shared folder of spark.checkpoint.dir. One of our own only where none is named and all runs on this machine, as in tests."""
     set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not set_dir and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     return set_dir or "file:///tmp/checkpoints/larkspur"
 
 
@@ -40,17 +43,53 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for these tables, once what is made of them has been written."""
+    for df in tables:
+        at = {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+        for item in [x for x in _written if any(a.endswith(x[1].split(":")[-1].lstrip("/")) for a in at)]:
+            _delete(*item)
+            _written.remove(item)
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path in _written:
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM has gone; the folder's owner cleans it
             return
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with as many underscores added as part it from the columns given."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+#: A key is hot if it holds more than one row in so many. There are fewer such keys than this.
+HOT_SHARE = 4096
+
+
+def spread_join(big: DataFrame, small: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join on ``key``, a key of small's once only. small.count: rows that big has of the key, of ``total`` in all.
+
+    Rows of hot keys meet a broadcast, which holds fewer than HOT_SHARE rows whatever the input, so that no key is one task's.
+    """
+    hot = small.where(F.col(count) * HOT_SHARE > total).drop(count)
+    rest = small.where(F.col(count) * HOT_SHARE <= total).drop(count)
+    of_hot = big.join(F.broadcast(hot), key)
+    of_rest = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key)
+    return of_hot.unionByName(of_rest)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import BROADCAST_BYTES, alone, materialize
+from larkspur.llm._common import BROADCAST_BYTES, alone, discard, materialize, spread_join
 
 #: Distinct fingerprints, those of least hash, that bit correlations and candidate counts are estimated from.
 SAMPLE = 2048
@@ -136,13 +136,16 @@ def group_bits(bits: np.ndarray, width: int) -> list[list[int]]:
         x = bits - bits.mean(0, keepdims=True)
         sd = np.sqrt((x * x).mean(0)) + 1e-9
         c = np.abs((x.T @ x) / len(bits) / sd[:, None] / sd[None, :])
-    left, out = list(range(n)), []
-    while left:
-        got = [left.pop(0)]
-        while left and len(got) < width:
-            k = max(left, key=lambda j: (c[j, got].sum(), -j))
-            left.remove(k)
+    free, out = np.ones(n, bool), []
+    while free.any():
+        got = [int(np.argmax(free))]
+        free[got[0]] = False
+        near = c[:, got[0]].copy()
+        while free.any() and len(got) < width:
+            k = int(np.argmax(np.where(free, near, -1.0)))
+            free[k] = False
             got.append(k)
+            near += c[:, k]
         out.append(sorted(got))
     return out
 
@@ -308,45 +311,33 @@ def forest(group: np.ndarray, probe: np.ndarray, side: np.ndarray, w: np.ndarray
     return child, label[child]
 
 
-def every_link(group: np.ndarray, probe: np.ndarray, side: np.ndarray, w: np.ndarray, node_words: int, distance: int, per_mille: int):
-    """Yields indices (a, b) of all links inside runs of equal ``group``.
+def bucket_counts(fps: DataFrame, parts: list[tuple[list[int], int]], words: int) -> DataFrame:
+    """part, key, count: rows that ``bucket_rows`` makes of each bucket, counted in each task first."""
 
-    w: node_words of fingerprint, then a word that begins with the 32-bit size of the shingle set, and last one of the
-    class known already. Rows of one class aren't paired, nor sets whose sizes alone rule the similarity out.
-    """
-    n = len(group)
-    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    sizes = np.diff(np.concatenate([starts, [n]]))
-    fp, many, known = w[:, :node_words], (w[:, node_words] >> np.uint64(32)).astype(np.int64), w[:, -1]
+    def run(batches):
+        import pyarrow as pa
 
-    def linked(a, b):
-        ok = ~(probe[a] & probe[b]) & ((side[a] == 0) | (side[a] != side[b])) & (known[a] != known[b])
-        ok &= np.minimum(many[a], many[b]) * 1000 >= np.maximum(many[a], many[b]) * per_mille
-        a, b = a[ok], b[ok]
-        ok = np.bitwise_count(fp[a] ^ fp[b]).sum(1) <= distance
-        return a[ok], b[ok]
+        for b in batches:
+            if not b.num_rows:
+                continue
+            w = _words(b.column(0), words)
+            for i, (bits, t) in enumerate(parts):
+                key = _keys(w, bits)
+                masks = [0] + [sum(1 << x for x in c) for k in range(1, t + 1) for c in combinations(range(len(bits)), k)]
+                for s in range(0, len(masks), 64):
+                    ks, n = np.unique((key[:, None] ^ np.array(masks[s : s + 64], np.uint64)[None, :]).ravel(), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), i, np.int16)), pa.array(ks.view(np.int64)), pa.array(n)], ["part", "key", "n"])
 
-    member = np.repeat(np.where(sizes <= 64, sizes, 0), sizes)
-    place = np.arange(n) - np.repeat(starts, sizes)
-    for k in range(1, int(member.max(initial=0))):
-        a = np.flatnonzero(place + k < member)
-        yield linked(a, a + k)
-    for s, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
-        for i in range(s, s + m, 512):
-            for j in range(i, s + m, 512):
-                x, y = np.meshgrid(np.arange(i, min(i + 512, s + m)), np.arange(j, min(j + 512, s + m)), indexing="ij")
-                upper = x < y
-                yield linked(x[upper], y[upper])
+    return fps.select("full").mapInArrow(run, "part short, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("count"))
 
 
-def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_words: int, distance: int, block: int = BLOCK, per_mille: int | None = None) -> DataFrame:
+def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_words: int, distance: int, block: int = BLOCK) -> DataFrame:
     """a, b: nodes linked; their connected components are those of all links that the plan finds.
 
     fps: node (its first node_words words are those that distances are taken on) and full (all words).
-    per_mille: give every link that ``every_link`` finds, not a spanning forest.
     """
     rows = bucket_rows(fps, parts, words)
-    counts = rows.groupBy("part", "key").count().where(F.col("count") > block)
+    counts = bucket_counts(fps, parts, words).where(F.col("count") > block)
     hot = materialize(counts.select(F.col("part").alias("p"), F.col("key").alias("k"), F.ceil(F.col("count") / block).cast("int").alias("blocks")), "simhash-hot")
     n_hot = hot.count()
     rows = rows.withColumn("group", F.xxhash64("part", "key")).withColumn("side", F.lit(0).cast("short"))
@@ -385,13 +376,8 @@ def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_w
             fp = t.column("fp").combine_chunks()
             w = _words(fp, len(fp[0].as_py()) // 8)
             probe, side = t.column("probe").to_numpy(), t.column("side").to_numpy()
-            if per_mille is None:
-                found = [forest(group[:cut], probe, side, w[:, :node_words], distance)]
-            else:
-                found = every_link(group[:cut], probe, side, w, node_words, distance, per_mille)
-            for child, root in found:
-                if not len(child):
-                    continue
+            child, root = forest(group[:cut], probe, side, w[:, :node_words], distance)
+            if len(child):
                 yield pa.RecordBatch.from_arrays([fp.take(pa.array(child)), fp.take(pa.array(root))], ["a", "b"])
 
     out = rows.select("group", "probe", "side", "fp").repartition("group").sortWithinPartitions("group").mapInArrow(run, "a binary, b binary")
@@ -406,24 +392,43 @@ def _with_end(batches):
 # ---------------------------------------------------------------- components
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """node, root: the least node of each node's component. edges: a, b with a > b; a node on no edge is left out."""
-    e = materialize(edges.select("a", "b"), "cc")
-    before = None
-    for _ in range(rounds):
+def components(edges: DataFrame) -> DataFrame:
+    """node, root: the least node of each node's component. edges: a, b with a > b; a node on no edge is left out.
+
+    Alternating stars. Of a heavy centre only the centre's least neighbour is broadcast (``spread_join``).
+    Each round's tables are deleted once the next is written.
+    """
+    e = materialize(edges.select("a", "b").distinct(), "cc")
+    n = e.count()
+    while True:
         # large star: every larger neighbour of u goes to the least of u and its neighbours
         both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e = materialize(both.where("v > u").join(least, "u").where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "cc")
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        least = materialize(least, "cc-least")
+        large = spread_join(both.where("v > u"), least, "u", "c", 2 * n)
+        large = materialize(large.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct(), "cc")
         # small star: u and its smaller neighbours go to the least of those
-        least = e.groupBy("a").agg(F.min("b").alias("m"))
-        small = e.join(least, "a")
-        e = materialize(small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1000003)).first())
-        if now == before:
+        lower = materialize(large.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("c")), "cc-least")
+        small = spread_join(large, lower, "a", "c", n)
+        new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lower.select("a", F.col("m").alias("b")))
+        new = materialize(new.distinct(), "cc")
+        n_new = new.count()
+        settled = n_new == n and new.join(e, ["a", "b"], "left_anti").isEmpty()
+        discard(e, least, large, lower)
+        e, n = new, n_new
+        if settled:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-    raise RuntimeError("components did not settle")
+
+
+def _named(distinct: DataFrame, roots: DataFrame, id_col: str) -> DataFrame:
+    """node, root, many and component_id, the least ``id_col`` of the class. distinct: node, many, id_col."""
+    named = materialize(distinct.join(roots, "node", "left").select("node", "many", id_col, F.coalesce("root", "node").alias("root")), "simhash-roots")
+    ids = named.groupBy("root").agg(F.min(id_col).alias("component_id"), F.count(F.lit(1)).alias("c"))
+    ids = materialize(ids.where("c > 1"), "simhash-classes")
+    # nearly all classes are of one node and need no join
+    many = spread_join(named.drop(id_col), ids, "root", "c", named.count())
+    one = named.join(ids, "root", "left_anti").select("root", "node", "many", F.col(id_col).alias("component_id"))
+    return materialize(many.unionByName(one), "simhash-named")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=3, words=1, node_words=None, distance=3, recall=1.0, flips=None, sample=SAMPLE, block=BLOCK) -> DataFrame:
@@ -433,25 +438,28 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=3
     None). recall below 1 and flips: see ``plan``.
     """
     node_words = node_words or words
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, words), "simhash-fps")
-    distinct = fps.groupBy(F.substring("fp", 1, 8 * node_words).alias("node")).agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("full"))
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, words), "simhash-fps").withColumn("node", F.substring("fp", 1, 8 * node_words))
+    distinct = fps.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("fp").alias("full"), F.count(F.lit(1)).alias("many"))
     distinct = materialize(distinct, "simhash-distinct")
-    n = distinct.count()
-    some = [bytes(r[0]) for r in distinct.select("full").orderBy(F.xxhash64("full"), "full").limit(sample).collect()]
+    n, total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("many"), F.lit(0))).first()
     if n < 2:
         return fps.select("doc_id", "fp", F.lit(distinct.agg(F.min("least_id")).first()[0]).cast("long").alias("component_id"))
-    parts = plan(np.frombuffer(b"".join(some), ">u8").astype(np.uint64).reshape(-1, words), n, distance, recall, flips)
-    roots = components(links(distinct, parts, words, node_words, distance, block))
-    named = distinct.join(roots, distinct["node"] == roots["node"], "left").select(distinct["node"], "least_id", F.coalesce("root", distinct["node"]).alias("root"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialize(named.join(ids, "root").select(F.col("node").alias("of_node"), "component_id"), "simhash-named")
-    return fps.join(named, F.substring("fp", 1, 8 * node_words) == named["of_node"]).select("doc_id", "fp", "component_id")
+    parts = plan(_sample(distinct, words, sample), n, distance, recall, flips)
+    named = _named(distinct.drop("full"), components(links(distinct, parts, words, node_words, distance, block)), "least_id")
+    return spread_join(fps, named.drop("root"), "node", "many", total).select("doc_id", "fp", "component_id")
+
+
+def _sample(distinct: DataFrame, words: int, sample: int) -> np.ndarray:
+    some = [bytes(r[0]) for r in distinct.select("full").orderBy(F.xxhash64("full"), "full").limit(sample).collect()]
+    return np.frombuffer(b"".join(some), ">u8").astype(np.uint64).reshape(-1, words)
 
 
 # ---------------------------------------------------------------- verified similarity
 
 #: Bytes that name a shingle set: its size in 4, then a hash of it.
 SET_BYTES = 16
+#: Shingles of a block; loose classes of more are split into pairs of such blocks.
+BLOCK_SHINGLES = 1 << 17
 
 
 def _set_name(h: np.ndarray) -> bytes:
@@ -460,8 +468,52 @@ def _set_name(h: np.ndarray) -> bytes:
     return len(h).to_bytes(4, "big") + xxh3_128_digest(h.tobytes())[: SET_BYTES - 4]
 
 
-def _sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """name and hs, the distinct shingle hashes, of each text. docs: doc_id, text."""
+def similar_forest(sizes: np.ndarray, hashes: np.ndarray, side: np.ndarray, per_mille: int) -> tuple[np.ndarray, np.ndarray]:
+    """Indices (child, root) of a spanning forest of the pairs of sets whose Jaccard similarity is per_mille / 1000 or more, counted exactly.
+
+    hashes: the distinct hashes of each set, one set after the other. Rows of the same side 1 or 2 aren't paired.
+    Intersections are products of 0/1 matrices over the hashes that two sets have, taken in slices.
+    """
+    n = len(sizes)
+    label = np.arange(n)
+    _, at, seen = np.unique(hashes, return_inverse=True, return_counts=True)
+    row, shared = np.repeat(np.arange(n), sizes), seen[at] > 1
+    row, at = row[shared], np.unique(at[shared], return_inverse=True)[1]
+    width = int(at.max(initial=-1)) + 1
+    order = np.argsort(at, kind="stable")  # by hash, and by row within
+    row, at = row[order], at[order]
+    many = sizes.astype(np.int64)
+    step, slice_ = 512, 4096
+    cuts = np.searchsorted(at, np.arange(0, width + slice_, slice_))
+    for i in range(0, n, step):
+        for j in range(i, n, step):
+            a, b = min(step, n - i), min(step, n - j)
+            both = np.zeros((a, b), np.float32)
+            for c in range(len(cuts) - 1):
+                r, k = row[cuts[c] : cuts[c + 1]], at[cuts[c] : cuts[c + 1]] - c * slice_
+                in_a, in_b = (r >= i) & (r < i + a), (r >= j) & (r < j + b)
+                if not in_a.any() or not in_b.any():
+                    continue
+                x = np.zeros((a, min(slice_, width - c * slice_)), np.float32)
+                x[r[in_a] - i, k[in_a]] = 1
+                if i == j:
+                    y = x
+                else:
+                    y = np.zeros((b, x.shape[1]), np.float32)
+                    y[r[in_b] - j, k[in_b]] = 1
+                both += x @ y.T
+            common = both.astype(np.int64)
+            ok = common * 1000 >= per_mille * (many[i : i + a, None] + many[None, j : j + b] - common)
+            ok &= (side[i : i + a, None] == 0) | (side[i : i + a, None] != side[None, j : j + b])
+            x, y = np.nonzero(ok)
+            x, y = x + i, y + j
+            label = _root(label, x[x < y], y[x < y])
+    child = np.flatnonzero(label != np.arange(n))
+    return child, label[child]
+
+
+def _hashed(texts: DataFrame, shingle: int) -> DataFrame:
+    """node and hs, the distinct shingle hashes, of each row. texts: node, text."""
 
     def run(batches):
         import pyarrow as pa
@@ -469,38 +521,72 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
         alone("simhash")
         for b in batches:
             for i in range(0, b.num_rows, 256):
-                hs = [np.unique(shingle_hashes((t or "").encode("utf-8", "replace"), shingle)) for t in b.column(0).slice(i, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(map(_set_name, hs), pa.binary()), pa.array([h.view(np.int64) for h in hs], pa.list_(pa.int64()))], ["name", "hs"])
-
-    return docs.select("text").mapInArrow(run, "name binary, hs array<bigint>")
-
-
-def _verified(found: DataFrame, distinct: DataFrame, docs: DataFrame, node_bytes: int, shingle: int, per_mille: int) -> DataFrame:
-    """The links whose shingle sets have the similarity, by exact intersection."""
-    found = materialize(found, "simhash-candidates")
-    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct()
-    need = materialize(distinct.join(ends, "node", "left_semi").select("least_id", F.substring("node", node_bytes + 1, SET_BYTES).alias("name")), "simhash-need")
-    small = need.count() * 16 <= BROADCAST_BYTES
-    ids, names = need.select(F.col("least_id").alias("doc_id")).distinct(), need.select("name").distinct()
-    texts = docs.join(F.broadcast(ids) if small else ids, "doc_id", "left_semi")
-    sets = _sets(texts, shingle).join(F.broadcast(names) if small else names, "name", "left_semi")
-    sets = materialize(sets.groupBy("name").agg(F.first("hs").alias("hs")), "simhash-sets")
-    a, b = (sets.select(F.col("name").alias(f"{x}_name"), F.col("hs").alias(f"{x}_hs")) for x in "ab")
-    name = lambda x: F.substring(x, node_bytes + 1, SET_BYTES)
-    rows = found.join(a, name("a") == a["a_name"]).join(b, name("b") == b["b_name"])
-    shared = F.size(F.array_intersect("a_hs", "b_hs")).cast("long")
-    return rows.where(shared * 1000 >= per_mille * (F.size("a_hs") + F.size("b_hs") - shared)).select("a", "b")
-
-
-def similar(docs: DataFrame, shingle=5, similarity=0.8, words=12, node_words=8, distance=128, recall=0.999, flips=None, sample=SAMPLE, block=BLOCK) -> DataFrame:
-    """doc_id and component_id (least doc_id of the class): a row for each input row.
-
-    docs: doc_id (no nulls) and text. Texts link whose distinct shingles have a Jaccard similarity of at least
-    ``similarity`` (in thousandths), all counted; fingerprints, of distinct shingles too, only choose the pairs to be compared. A first round takes a spanning
-    forest of the links in a quarter of the keys; the second compares all pairs that the plan finds between what that left apart.
+                hs = [np.unique(shingle_hashes((t or "").encode("utf-8", "replace"), shingle)) for t in b.column(1).slice(i, 256).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 256), pa.array([h.view(np.int64) for h in hs], pa.list_(pa.int64()))], ["node", "hs"])
+
+    return texts.mapInArrow(run, "node binary, hs array<bigint>")
+
+
+def _verified(loose: DataFrame, sets: DataFrame, per_mille: int, block: int) -> DataFrame:
+    """a, b: links inside loose classes that hold exactly. loose: node, root, size; sets: node, hs."""
+    sums = loose.groupBy("root").agg(F.sum("size").alias("s"), F.count(F.lit(1)).alias("c"))
+    hot = sums.where(F.col("s") > block).select("root", "c", F.ceil(F.col("s") / block).cast("int").alias("blocks"))
+    hot = materialize(hot, "simhash-hot")
+    total = loose.count()
+    split = spread_join(loose, hot, "root", "c", total)
+    whole = loose.join(hot, "root", "left_anti") if hot.isEmpty() else loose.join(F.broadcast(hot.select("root")) if hot.count() * 96 <= BROADCAST_BYTES else hot.select("root"), "root", "left_anti")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    pairs = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda j: F.struct(F.xxhash64("root", F.least(own, j), F.greatest(own, j)).alias("group"), F.when(own == j, 0).when(own < j, 1).otherwise(2).cast("short").alias("side")),
+    )
+    split = split.select("node", F.explode(pairs).alias("g")).select("node", "g.group", "g.side")
+    dealt = whole.select("node", F.xxhash64("root").alias("group"), F.lit(0).cast("short").alias("side")).unionByName(split)
+    rows = dealt.join(sets, "node").select("group", "side", "node", "hs")
+
+    def run(batches):
+        import pyarrow as pa
+
+        alone("simhash")
+        held: list = []
+
+        def links():
+            t = pa.Table.from_batches(held).combine_chunks()
+            hs = t.column("hs").combine_chunks()
+            node = t.column("node").combine_chunks()
+            sizes = hs.value_lengths().to_numpy(zero_copy_only=False)
+            child, root = similar_forest(sizes, hs.flatten().to_numpy(), t.column("side").to_numpy(), per_mille)
+            return pa.RecordBatch.from_arrays([node.take(pa.array(child)), node.take(pa.array(root))], ["a", "b"])
+
+        last = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            group = b.column(0).to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() + [len(group)]
+            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and group[s] != last:
+                    yield links()
+                    held.clear()
+                held.append(b.slice(s, e - s))
+                last = group[s]
+        if held:
+            yield links()
+
+    out = rows.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a binary, b binary")
+    return out.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
+def similar(docs: DataFrame, shingle=5, similarity=0.8, words=12, node_words=8, distance=104, recall=0.999, flips=None, sample=SAMPLE, block=BLOCK, block_shingles=BLOCK_SHINGLES) -> DataFrame:
+    """doc_id, text_hash, component_id and first: a row for each input row.
+
+    docs: doc_id and text. Texts link whose distinct shingles have a Jaccard similarity of at least ``similarity`` (in
+    thousandths). Fingerprints of distinct shingles find loose classes, the components of pairs within ``distance``; inside each loose
+    class all pairs are then counted exactly, in place, and only a spanning forest of what holds is given out.
+    component_id: the least doc_id of the class; first: whether the row's (doc_id, text_hash) is the class's least, nulls last.
     """
     per_mille = round(similarity * 1000)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
 
     def run(batches):
         import pyarrow as pa
@@ -512,24 +598,28 @@ def similar(docs: DataFrame, shingle=5, similarity=0.8, words=12, node_words=8,
                 h = np.unique(shingle_hashes((t.as_py() or "").encode("utf-8", "replace"), shingle))
                 fps.append(b"".join(w.to_bytes(8, "big") for w in _fold(h, words)))
                 names.append(fps[-1][: 8 * node_words] + _set_name(h))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary()), pa.array(names, pa.binary())], ["doc_id", "full", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(fps, pa.binary()), pa.array(names, pa.binary())], ["doc_id", "text_hash", "full", "node"])
 
-    fps = materialize(docs.mapInArrow(run, "doc_id long, full binary, node binary"), "simhash-fps")
-    distinct = materialize(fps.groupBy("node").agg(F.min("doc_id").alias("least_id"), F.min("full").alias("full")), "simhash-distinct")
-    n = distinct.count()
-    some = [bytes(r[0]) for r in distinct.select("full").orderBy(F.xxhash64("full"), "full").limit(sample).collect()]
+    fps = materialize(docs.mapInArrow(run, "doc_id long, text_hash long, full binary, node binary"), "simhash-fps")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    distinct = materialize(fps.groupBy("node").agg(F.min(key).alias("least"), F.min("full").alias("full"), F.count(F.lit(1)).alias("many")), "simhash-distinct")
+    n, total = distinct.agg(F.count(F.lit(1)), F.coalesce(F.sum("many"), F.lit(0))).first()
     if n < 2:
-        return fps.select("doc_id", F.lit(distinct.agg(F.min("least_id")).first()[0]).cast("long").alias("component_id"))
-    parts = plan(np.frombuffer(b"".join(some), ">u8").astype(np.uint64).reshape(-1, words), n, distance, recall, flips)
-    check = lambda found: materialize(_verified(found, distinct, docs, 8 * node_words, shingle, per_mille), "simhash-links")
-    first = check(links(distinct, [(p, 0) for p, _ in parts[::4]], words, node_words, distance, block))
-    roots = components(first)
-    known = distinct.join(roots, "node", "left").select(F.concat("node", F.unhex(F.lpad(F.hex(F.xxhash64(F.coalesce("root", "node"))), 16, "0"))).alias("node"), "full")
-    bare = lambda x: F.expr(f"substring({x}, 1, length({x}) - 8)").alias(x)
-    rest = links(known, parts, words, node_words, distance, block, per_mille).select(bare("a"), bare("b"))
-    rest = rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    roots = components(first.unionByName(check(rest)))
-    named = distinct.join(roots, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = materialize(named.join(ids, "root").select("node", "component_id"), "simhash-named")
-    return fps.join(named, "node").select("doc_id", "component_id")
+        named = distinct.select("node", "many", F.col("least").alias("component_id"))
+    else:
+        parts = plan(_sample(distinct, words, sample), n, distance, recall, flips)
+        loose = components(links(distinct, parts, words, node_words, distance, block))
+        loose = loose.unionByName(loose.select(F.col("root").alias("node"), "root").distinct())
+        size = F.conv(F.hex(F.substring("node", 8 * node_words + 1, 4)), 16, 10).cast("long")
+        loose = materialize(loose.distinct().withColumn("size", size), "simhash-loose")
+        # one row of the documents stands for each node of a loose class
+        need = loose.join(distinct, "node").select("node", F.col("least.doc_id").alias("of_id"), F.col("least.text_hash").alias("of_hash"))
+        need = materialize(need, "simhash-need")
+        few = F.broadcast(need) if need.count() * 128 <= BROADCAST_BYTES else need
+        texts = docs.join(few, docs["doc_id"].eqNullSafe(F.col("of_id")) & (docs["text_hash"] == F.col("of_hash"))).select("node", "text")
+        sets = materialize(_hashed(texts.groupBy("node").agg(F.first("text").alias("text")), shingle), "simhash-sets")
+        named = _named(distinct.select("node", "many", "least"), components(_verified(loose, sets, per_mille, block_shingles)), "least")
+        discard(loose, need, sets)
+    out = spread_join(fps.drop("full"), named.select("node", "many", "component_id"), "node", "many", total)
+    first = F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (F.col("text_hash") == F.col("component_id.text_hash"))
+    return out.select("doc_id", "text_hash", F.col("component_id.doc_id").alias("component_id"), first.alias("first"))
