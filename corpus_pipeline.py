@@ -28,7 +28,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep what the quality classifier takes for good."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     model = quality.train(docs, labels, lambda c: crc_mod(c, 5) != 0)
-    return quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.keep(docs, model)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents so that the sources come near their targets."""
-    return mixing.expand(mixing.mix_documents(docs), docs.columns)
+    return mixing.expand(docs)
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,7 @@ def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", classify), ("near_duplicates", deduplicate), ("benchmark", decontaminate), ("mixing", mix), ("tokens", tokenise)]
 
-#: The stages aren't expressible in SQL; tests hold each against a brute-force version.
+#: The stages aren't expressible in SQL; tests/llm/test_pipeline.py holds each against a brute-force version or what it is planted with.
 ORACLE_SQL = None
 
 

@@ -10,12 +10,12 @@ from larkspur.llm._common import crc_mod, materialize, n_words, table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", n_words("text").alias("size"))
-    sized = materialize(docs, "mix")
-    sized = mixing.with_blocks(sized, "doc_id", "size", mixing.fineness(sized.count()))
+    docs = table(spark, sf_dir, "documents")
+    sized = materialize(docs.select(F.col("doc_id").alias("id"), "source", n_words("text").alias("size"), mixing.tie("doc_id", "text").alias("tie")), "mix")
+    sized = mixing.with_blocks(sized, mixing.fineness(sized.count()))
     blocks = materialize(mixing.count_blocks(sized), "mix-blocks")
     mixed = mixing.mix(sized, blocks, blocks.count())
-    return mixed.select("doc_id", "size", F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("size")).alias("taken"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,8 +85,8 @@ WORDS = r"regexp_extract_all(text, '[^\x20\x09-\x0D]+')"
 ORACLE: dict[str, str] = {}
 
 ORACLE["op1_mixing"] = rf"""
-WITH d AS (SELECT doc_id, source, coalesce(len({WORDS}), 0)::BIGINT AS size FROM documents),
-b AS (SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 64 AS sub,
+WITH d AS (SELECT doc_id, source, coalesce(len({WORDS}), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '') || '|' || coalesce(md5(text), '')) AS tie FROM documents),
+b AS (SELECT *, ('0x' || substr(tie, 1, 8))::BIGINT % 64 AS sub,
   CASE WHEN size <= 0 THEN 0 ELSE length(bin(size)) * 8 + ((size >> greatest(length(bin(size)) - 4, 0)) & 7) END AS bin FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source ASC NULLS LAST)) - 1) % 3 + 1] AS weight FROM s),
@@ -98,7 +98,7 @@ t AS (SELECT source, source_size, CASE WHEN i < k THEN (3 * source_size)::DOUBLE
   ('0x' || substr(md5('mix-1|' || coalesce('s' || source, 'n')), 1, 6))::BIGINT AS off FROM c, k),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target * 16777216.0::DOUBLE / source_size)::BIGINT ELSE 0 END AS expect FROM t),
 p AS (SELECT b.doc_id, b.size, e.source_size, e.target, e.expect,
-  e.expect * row_number() OVER (PARTITION BY b.source ORDER BY b.bin, b.sub, b.size, b.doc_id NULLS FIRST) + e.off AS ends
+  e.expect * row_number() OVER (PARTITION BY b.source ORDER BY b.bin, b.sub, b.size, b.doc_id NULLS FIRST, b.tie) + e.off AS ends
   FROM b JOIN e ON b.source IS NOT DISTINCT FROM e.source)
 SELECT doc_id, size, source_size, target, ((ends >> 24) - ((ends - expect) >> 24)) * size AS taken FROM p
 """

@@ -7,7 +7,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontam, mixing, rules
+from larkspur.llm import _common, chat, decontam, mixing, rules
 
 
 def words(t):
@@ -47,13 +47,33 @@ def test_mixing_targets_by_hand(documents):
 
 
 def test_mixing_odd_rows(documents, odd):
-    out = mixing.expand(mixed(documents(odd).withColumn("mix_extra", F.lit(1)).withColumn("size", F.lit("clash"))), ["doc_id", "text", "size"])
-    assert {r["size"] for r in out.collect()} <= {"clash"}
+    clashing = documents(odd).withColumn("mix_size", F.lit(-5)).withColumn("size", F.lit("clash")).withColumn("row", F.lit(7)).withColumn("key", F.lit("k")).withColumn("copies", F.lit("c"))
+    out = mixing.expand(clashing)
+    assert out.columns == clashing.columns
+    assert {tuple(r)[5:] for r in out.collect()} <= {(-5, "clash", 7, "k", "c")}
+    assert {(r.mix_size, r.mix_size_ >= 0) for r in mixed(clashing).collect()} == {(-5, True)}
     assert mixed(documents(odd)).count() == len(odd)
-    assert mixed(documents([])).count() == 0
+    assert mixed(documents([])).count() == 0 and mixing.expand(documents([])).count() == 0
     assert not python_nodes(mixed(documents(odd)))
 
 
+def test_mixing_spreads_a_source_without_ids(documents):
+    docs = documents([(None, f"word {i} of {i % 7}", "a") for i in range(600)])
+    sized = docs.select(F.col("doc_id").alias("id"), "source", F.lit(4).alias("size"), mixing.tie("doc_id", "text").alias("tie"))
+    most = max(r["count"] for r in mixing.with_blocks(sized).groupBy(*mixing.BLOCK_COLUMNS).count().collect())
+    assert most < 40
+    first = sorted((r.text, r.mix_copies) for r in mixed(docs).collect())
+    assert first == sorted((r.text, r.mix_copies) for r in mixed(docs.repartition(7)).collect())
+
+
+def test_mixing_by_shuffled_joins(documents, monkeypatch):
+    docs = documents([(i % 50 or None, "word " * (i * 37 % 301), ["a", "b", None][i % 3]) for i in range(600)])
+    taken = lambda: sorted(map(str, mixed(docs).select("doc_id", "text", "source", "mix_copies").collect()))
+    before = taken()
+    monkeypatch.setattr(_common, "BROADCAST_BYTES", 0)
+    assert taken() == before
+
+
 def repeat_words(ws):
     wins = [tuple(ws[i : i + 3]) for i in range(len(ws) - 2)]
     c = Counter(wins)
@@ -107,7 +127,7 @@ def shingle_set(t):
     return {" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
 
-def test_decontamination(documents, spark, odd):
+def test_decontamination(documents, spark, odd, monkeypatch):
     rng = random.Random(4)
     vocab = [f"w{i}" for i in range(300)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([3, 8, 20, 45])))) for i in range(30)] + [(99, None), (98, " . "), (97, "one two"), (96, "one two")]
@@ -129,6 +149,10 @@ def test_decontamination(documents, spark, odd):
             if b and 10 * len(a & b) >= 8 * len(b):
                 want.add((d, i, len(a & b)))
     assert got == want and len(want) > 15
+    with monkeypatch.context() as m:
+        m.setattr(_common, "BROADCAST_BYTES", 0)
+        shuffled = decontam.contaminated(documents(rows), spark.createDataFrame(items, "item_id long, text string"))
+        assert {(r.doc_id, r.item_id, r.n_shared) for r in shuffled.collect()} == want and not python_nodes(shuffled)
     clean = decontam.decontaminate(documents(rows), spark.createDataFrame(items, "item_id long, text string"))
     assert clean.count() == sum(d not in {x[0] for x in want} for d, _, _ in rows) and clean.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert not python_nodes(clean)
@@ -141,3 +165,24 @@ def test_mixing_takes_the_same_documents_whatever_the_block_size(documents, monk
     before = taken()
     monkeypatch.setattr(mixing, "ROWS", 1)
     assert taken() == before
+
+
+def test_decontamination_counts_an_id_once(documents, spark):
+    item = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, " ".join(f"w{i}" for i in range(18)), "s"), (1, " ".join(f"w{i}" for i in range(12, 30)), "s"), (2, " ".join(f"w{i}" for i in range(18)), "s"), (None, item, "s"), (None, "x", "s"), (3, item, "s"), (3, item, "s")]
+    items = spark.createDataFrame([(7, item), (None, item), (8, item), (8, "one more of the same id")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared) for r in decontam.contaminated(documents(rows), items).collect()}
+    # the rows of id 1 hold 14 shingles each, 2 of them in common: neither is enough alone
+    assert got == {(d, i, 26) for d in (1, None, 3) for i in (7, None, 8)}
+
+
+def test_decontamination_searches_by_sketches(documents, spark):
+    rng = random.Random(5)
+    item = [f"w{i}" for i in range(60)]
+    docs = documents([(i, " ".join(item[i : i + 7]), "s") for i in range(50)] + [(99, " ".join(item), "s")] + [(100 + i, " ".join(rng.choice(item) for _ in range(50)), "s") for i in range(20)])
+    index = decontam.item_sketches(spark.createDataFrame([(1, " ".join(item))], "item_id long, text string"))
+    (row,) = index.collect()
+    assert (row.m, row.need, row.part) == (56, 45, 6) and row.sketch == sorted(row.hs)[: len(row.sketch)] and 56 - 45 < len(row.sketch) < 20
+    sketched, whole = (index.select("item", F.explode(c).alias("h")) for c in ("sketch", "hs"))
+    few, all_ = (decontam.candidates(docs, x, 100).count() for x in (sketched, whole))
+    assert 1 <= few < all_ and decontam.candidates(docs, sketched.where("false"), 0).count() == 0
