@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word: a maximal run of characters other than space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -113,3 +114,29 @@ def alone(owner: str) -> None:
     for name, drop in forget.items():
         if name != owner:
             drop()
+
+
+def append_scores(docs: DataFrame, text_col: str, owner: str, score, threshold: float, only: bool = False) -> DataFrame:
+    """docs with score (double) and predicted (int) added, under names with underscores added where docs has them.
+
+    score: an array from a list of texts. only: the rows predicted 1 alone, with the columns given and no more.
+    """
+    names, at = docs.columns, docs.columns.index(text_col)
+    new = [fresh(names, "score"), fresh(names, "predicted")]
+    schema = docs.schema if only else T.StructType([*docs.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.IntegerType())])
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        alone(owner)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            s = np.concatenate([score([t or "" for t in b.column(at).slice(i, 256).to_pylist()]) for i in range(0, b.num_rows, 256)])
+            if only:
+                yield b.filter(pa.array(s >= threshold))
+            else:
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*names, *new])
+
+    return docs.mapInArrow(run, schema)

@@ -1,20 +1,22 @@
 """Quality classifier: positive-unlabelled learning with the non-negative risk estimator.
 
-Trusted positives (documents labelled good) are held against unlabelled web text. Of a linear scorer g
-with logistic loss l, the risk ``prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)])`` is minimised
-by full-batch Adam. Where the bracket goes below zero the step follows its negated gradient instead, as
-the non-negative estimator asks. No text of a labelled negative teaches as such.
+Trusted positives (documents labelled good) are held against unlabelled web text: every document, whatever its
+label. Of a linear scorer g with squared loss, the risk ``prior * E_P[(g - 1)^2] + max(0, E_U[(g + 1)^2] -
+prior * E_P[(g + 1)^2])`` is minimised. It takes first and second moments of the features only, so the unlabelled
+side is all the documents: tasks sum moments, and one matrix comes back whatever the corpus. Where the bracket goes
+below zero the step follows its negated gradient instead, as the non-negative estimator asks.
 
-The class prior is estimated as the lower of two figures. For any set S, U(S) >= prior * P(S), so the least
-ratio U(S) / P(S) over score thresholds of a cross-fitted scorer bounds it from above; and the share of
-label 1 among the labelled rows, where some are labelled otherwise, estimates it directly.
+The class prior is estimated from positives and unlabelled rows alone. For any set S, U(S) >= prior * P(S), so the least
+ratio U(S) / P(S) over score thresholds of a cross-fitted scorer bounds it from above; the ratios are of
+histograms counted over all rows. No labelled negative takes part in anything.
 
 Features describe the text only: frequencies of its bytes, and shares of repeated words, lines and word
-windows, upper case, marks and blanks. They are taken over the whole text, whatever its length.
+windows, upper case, marks and blanks. They are taken over the whole text, whatever its length, and are whole
+multiples of 1/1024, so that sums of moments are exact and don't depend on their order.
 
 Edge cases: a null text is an empty one; repeated ids are separate rows; label rows with null id or label
 teach nothing; without a positive or without documents to learn from, every score is the prior (0.5); an
-empty table gives an empty result; further columns aren't looked at.
+empty table gives an empty result; further columns pass through, and results whose names are taken get underscores added.
 """
 
 from __future__ import annotations
@@ -26,12 +28,19 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import alone
+from larkspur.llm._common import alone, append_scores, discard, materialize
 
-#: Most positives, and most unlabelled documents, that the classifier is fitted on.
-SAMPLE = 6000
+#: Most documents labelled good that the classifier is fitted on; their ids are broadcast.
+SAMPLE = 100_000
 THRESHOLD = 0.3
 N_SHAPE = 22
+N_FEATURES = 256 + N_SHAPE
+#: Steps of a feature to one, and the most that a feature may be.
+UNIT, MOST = 1024, 5
+#: Added to each feature's deviation, and the weight of the squared weights.
+FLOOR, RIDGE = 0.05, 0.1
+#: Bins of the score histograms that the prior is read off.
+BINS = 4096
 
 
 def text_features(text: str) -> np.ndarray:
@@ -65,10 +74,16 @@ def text_features(text: str) -> np.ndarray:
     return out
 
 
+def quantised(texts: list[str]) -> np.ndarray:
+    """(n, N_FEATURES) int16: features in steps of 1 / UNIT."""
+    x = np.stack([text_features(t) for t in texts]) if texts else np.zeros((0, N_FEATURES), np.float32)
+    return np.rint(np.clip(x, 0, MOST) * UNIT).astype(np.int16)
+
+
 @dataclass
 class Model:
-    mean: np.ndarray
-    scale: np.ndarray
+    """score = (1 + weights . features + bias) / 2, within 0 and 1; no weights: the prior."""
+
     weights: np.ndarray
     bias: float
     prior: float
@@ -76,128 +91,204 @@ class Model:
     def score(self, x: np.ndarray) -> np.ndarray:
         if not len(self.weights):
             return np.full(len(x), self.prior)
-        g = np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+        return np.clip((x.astype(np.float64) / UNIT @ self.weights + self.bias + 1) / 2, 0.0, 1.0)
+
+
+# ---------------------------------------------------------------- fitting on moments
+
 
+def moments(x: np.ndarray) -> np.ndarray:
+    """Sums of products of the rows, with a column of ones added."""
+    one = np.hstack([x.astype(np.float64), np.ones((len(x), 1))])
+    return one.T @ one
 
-def _sigmoid(g: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(g, -40, 40)))
 
+def _scaling(u: np.ndarray) -> np.ndarray:
+    """The matrix that standardises features (with a one added) by the unlabelled rows' moments."""
+    n, d = u[-1, -1], len(u) - 1
+    mean = u[-1, :-1] / n
+    sd = np.sqrt(np.maximum(np.diag(u)[:-1] / n - mean**2, 0)) + FLOOR
+    t = np.zeros((d + 1, d + 1))
+    t[:d, :d], t[:d, d], t[d, d] = np.diag(1 / sd), -mean / sd, 1
+    return t
 
-def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3) -> tuple[np.ndarray, float, float]:
-    """Weights, bias and final risk of the linear scorer of least non-negative unbiased risk."""
-    w, m, v = (np.zeros(p.shape[1] + 1) for _ in range(3))
-    p1, u1 = np.hstack([p, np.ones((len(p), 1))]), np.hstack([u, np.ones((len(u), 1))])
-    w[-1] = np.log(prior / (1 - prior))
-    risk = 0.0
+
+def nnpu_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The positive and the negative part of the risk, and their gradients. p, u: moments over their count."""
+    ones_p, ones_u = p[-1], u[-1]
+    pw, uw = p @ w, u @ w
+    positive = prior * (w @ pw - 2 * w @ ones_p + 1)
+    negative = (w @ uw + 2 * w @ ones_u + 1) - prior * (w @ pw + 2 * w @ ones_p + 1)
+    return positive, negative, 2 * prior * (pw - ones_p), 2 * (uw + ones_u) - 2 * prior * (pw + ones_p)
+
+
+def fit_nnpu(p: np.ndarray, u: np.ndarray, prior: float, steps: int = 400, rate: float = 0.003, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Weights (bias last) of least non-negative risk, and the risk. Starts at the minimum of the unbiased risk."""
+    keep = np.full(len(p), ridge)
+    keep[-1] = 0
+    w = np.linalg.lstsq(u + np.diag(keep), 2 * prior * p[-1] - u[-1], rcond=None)[0]
+    m, v, best = np.zeros(len(w)), np.zeros(len(w)), (np.inf, w, 0.0)
     for t in range(1, steps + 1):
-        gp, gu = p1 @ w, u1 @ w
-        sp, su = _sigmoid(gp), _sigmoid(gu)
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        d_negative = u1.T @ su / len(u1) - prior * (p1.T @ sp) / len(p1)
-        d_positive = -prior * (p1.T @ (1 - sp)) / len(p1)
-        grad = d_positive + d_negative if negative >= 0 else -d_negative
-        risk = prior * np.logaddexp(0, -gp).mean() + max(0.0, negative)
-        grad[:-1] += decay * w[:-1]
+        positive, negative, d_positive, d_negative = nnpu_risk(w, p, u, prior)
+        risk = positive + max(0.0, negative)
+        goal = risk + float(keep @ (w * w))
+        if goal < best[0]:
+            best = (goal, w, risk)
+        grad = (d_positive + d_negative if negative >= 0 else -d_negative) + 2 * keep * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w[:-1], float(w[-1]), float(risk)
+    return best[1], float(best[2])
 
 
-def _discriminate(a: np.ndarray, b: np.ndarray, steps: int = 200) -> np.ndarray:
-    """Weights of a plain logistic regression of a (1) against b (0)."""
-    x = np.vstack([a, b])
-    y = np.concatenate([np.ones(len(a)), np.zeros(len(b))])
-    w, m, v = (np.zeros(x.shape[1]) for _ in range(3))
-    for t in range(1, steps + 1):
-        grad = x.T @ (_sigmoid(x @ w) - y) / len(y) + 1e-2 * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
+def discriminant(p: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Least-squares weights that tell positives from unlabelled rows, scaled so that unlabelled scores have mean 0 and deviation 1."""
+    a, b = p / p[-1, -1], u / u[-1, -1]
+    keep = np.full(len(p), 2 * RIDGE)
+    keep[-1] = 1e-9
+    w = np.linalg.solve(a + b + np.diag(keep), a[-1] - b[-1])
+    mean, square = w @ b[-1], w @ b @ w
+    w[-1] -= mean
+    return w / np.sqrt(max(square - mean**2, 1e-12))
+
 
+def bins_of(z: np.ndarray) -> np.ndarray:
+    return np.clip(((z + 8) * (BINS / 16)).astype(np.int64), 0, BINS - 1)
 
-def estimate_prior(p: np.ndarray, u: np.ndarray, least: float = 0.3) -> float:
-    """Share of positives among u: least U(score > t) / P(score > t) over thresholds that keep ``least`` of P.
 
-    Each half is scored by weights fitted on the other. One standard error is added to each ratio, so
-    that the minimum isn't won by chance.
+def prior_bound(p: np.ndarray, u: np.ndarray, least: float = 0.3) -> float:
+    """U(score >= t) / P(score >= t) for one t, of the bins that keep ``least`` of P.
+
+    It is the t of the least ratio with one standard error added to each side, so that no ratio is taken for being small by
+    chance. p, u: histograms of scores by weights that these rows had no part in.
     """
-    best = 1.0
-    for k in (0, 1):
-        w = _discriminate(p[k::2], u[k::2])
-        sp, su = np.sort(p[1 - k :: 2] @ w), np.sort(u[1 - k :: 2] @ w)
-        if not len(sp) or not len(su):
-            continue
-        for t in np.quantile(sp, np.linspace(0, 1 - least, 60)):
-            fp, fu = (sp >= t).mean(), (su >= t).mean()
-            slack = np.sqrt(fu * (1 - fu) / len(su) + 1e-9) + np.sqrt(fp * (1 - fp) / len(sp))
-            best = min(best, (fu + slack) / max(fp, 1e-9))
-    return float(min(0.98, max(0.02, best)))
-
-
-def fit(positives: np.ndarray, unlabelled: np.ndarray, share: float = 1.0) -> Model:
-    """share: of label 1 among labelled rows; 1 if it isn't known."""
-    if not len(positives) or not len(unlabelled):
-        return Model(np.zeros(0), np.ones(0), np.zeros(0), 0.0, 0.5)
-    mean, scale = unlabelled.mean(0), unlabelled.std(0) + 1e-3
-    p, u = np.clip((positives - mean) / scale, -8, 8), np.clip((unlabelled - mean) / scale, -8, 8)
-    prior = min(estimate_prior(p, u), max(0.02, share))
-    w, b, _ = fit_nnpu(p, u, prior)
-    return Model(mean, scale, w, b, prior)
-
-
-def _featured(docs: DataFrame, sample: int) -> np.ndarray:
-    """Features of at most ``sample`` of the rows, in an order that reruns repeat."""
+    n_p, n_u = p.sum(), u.sum()
+    if not n_p or not n_u:
+        return 1.0
+    fp, fu = p[::-1].cumsum()[::-1] / n_p, u[::-1].cumsum()[::-1] / n_u
+    slack = np.sqrt(fu * (1 - fu) / n_u + 1e-9) + np.sqrt(fp * (1 - fp) / n_p)
+    t = np.argmin(np.where(fp >= least, (fu + slack) / np.maximum(fp, 1e-9), np.inf))
+    return min(1.0, float(fu[t] / fp[t]))
+
+
+# ---------------------------------------------------------------- over tables
+
+
+def _featured(docs: DataFrame) -> DataFrame:
+    """good, fold, x (int16 features) of each row. docs: text, good, fold."""
 
     def run(batches):
         import pyarrow as pa
 
         alone("quality")
         for b in batches:
-            x = [text_features(t or "").tobytes() for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], ["h", "x"])
+            for i in range(0, b.num_rows, 512):
+                some = b.slice(i, 512)
+                x = quantised([t or "" for t in some.column(0).to_pylist()])
+                yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(map(bytes, x), pa.binary())], ["good", "fold", "x"])
 
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
-    got = rows.mapInArrow(run, "h long, x binary").orderBy("h", "x").limit(sample).collect()
-    return np.frombuffer(b"".join(r["x"] for r in got), np.float32).reshape(-1, 256 + N_SHAPE).astype(np.float64)
+    return docs.select("text", "good", "fold").mapInArrow(run, "good boolean, fold int, x binary")
 
 
-def train(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` rows labelled 1 and ``sample`` rows of docs whatever their label.
+def _rows_of(b) -> np.ndarray:
+    return np.frombuffer(b"".join(b.column(2).to_pylist()), np.int16).reshape(-1, N_FEATURES)
 
-    docs: doc_id, text. labels: doc_id, label. learn_from(column): which ids may be learnt from. Ids are
-    drawn by hash; only the drawn documents are featured.
+
+def sum_moments(feats: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """Moments of the unlabelled (0) and the positive rows (1) of each fold: by (fold, good).
+
+    Each task sums its own; a row of a matrix is one record of the shuffle, so what comes back is four matrices.
     """
-    spark = docs.sparkSession
-    order = F.xxhash64("doc_id")
-    good = labels.where((F.col("label") == 1) & F.col("doc_id").isNotNull() & learn_from("doc_id")).select("doc_id").distinct().orderBy(order).limit(sample)
-    web = docs.where(F.col("doc_id").isNotNull() & learn_from("doc_id")).select("doc_id").distinct().orderBy(order).limit(sample)
-    out = []
-    for ids in (good, web):
-        drawn = [(r[0],) for r in ids.collect()]
-        small = spark.createDataFrame(drawn, docs.select("doc_id").schema)
-        out.append(_featured(docs.join(F.broadcast(small), "doc_id", "left_semi"), sample))
-    taught = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & learn_from("doc_id")).agg(F.avg("label")).first()[0]
-    return fit(*out, share=1.0 if taught is None else taught)
 
+    def run(batches):
+        import pyarrow as pa
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with score (double) and predicted (int) added; the columns given pass through."""
-    names = docs.columns
-    at = names.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
+        sums = {g: np.zeros((N_FEATURES + 1, N_FEATURES + 1)) for g in range(4)}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, good, fold = _rows_of(b), np.array(b.column(0).to_pylist(), bool), b.column(1).to_numpy()
+            for f in (0, 1):
+                sums[2 * f] += moments(x[fold == f])
+                sums[2 * f + 1] += moments(x[(fold == f) & good])
+        for g, m in sums.items():
+            if m[-1, -1]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(m), g, np.int32)), pa.array(np.arange(len(m), dtype=np.int32)), pa.array(map(bytes, m), pa.binary())], ["g", "i", "v"])
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for g, i, v in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                sums[g, i] = sums.get((g, i), 0) + np.frombuffer(v)
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.int32()), pa.array([bytes(sums[k]) for k in keys], pa.binary())], ["g", "i", "v"])
+
+    schema = "g int, i int, v binary"
+    out = {(g // 2, g % 2): np.zeros((N_FEATURES + 1, N_FEATURES + 1)) for g in range(4)}
+    for r in feats.mapInArrow(run, schema).repartition("g", "i").mapInArrow(add, schema).collect():
+        out[r["g"] // 2, r["g"] % 2][r["i"]] = np.frombuffer(r["v"])
+    for m in out.values():  # from steps to units
+        m[:-1] /= UNIT
+        m[:, :-1] /= UNIT
+    return out
+
+
+def estimate_prior(feats: DataFrame, sums: dict[tuple[int, int], np.ndarray]) -> float:
+    """The bound over all rows: each fold is scored by weights fitted on the other."""
+    scale = _scaling(sums[0, 0] + sums[1, 0])
+    if not all(sums[f, 1][-1, -1] for f in (0, 1)):
+        return 0.5
+    by_fold = [discriminant(*(scale @ sums[1 - f, k] @ scale.T for k in (1, 0))) @ scale for f in (0, 1)]
 
     def run(batches):
         import pyarrow as pa
 
-        alone("quality")
+        counts = np.zeros((2, 2, BINS), np.int64)
         for b in batches:
             if not b.num_rows:
                 continue
-            s = np.empty(b.num_rows)
-            texts = b.column(at)
-            for i in range(0, b.num_rows, 256):
-                s[i : i + 256] = model.score(np.stack([text_features(t or "") for t in texts.slice(i, 256).to_pylist()]))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+            x, good, fold = _rows_of(b), np.array(b.column(0).to_pylist(), bool), b.column(1).to_numpy()
+            for f in (0, 1):
+                at = bins_of(x[fold == f].astype(np.float64) / UNIT @ by_fold[f][:-1] + by_fold[f][-1])
+                counts[f, 0] += np.bincount(at, minlength=BINS)
+                counts[f, 1] += np.bincount(at[good[fold == f]], minlength=BINS)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at])], ["at", "n"])
+
+    counts = np.zeros(4 * BINS, np.int64)
+    for at, n in feats.mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n")).collect():
+        counts[at] = n
+    unlabelled, good = counts.reshape(2, 2, BINS).sum(0)
+    return min(0.98, max(0.02, prior_bound(good, unlabelled)))
+
+
+def train(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE) -> Model:
+    """Fit on all rows of docs that may be learnt from, of which at most ``sample`` (drawn by hash of the id) count as positives too.
+
+    docs: doc_id, text. labels: doc_id, label. learn_from(column): which ids may be learnt from.
+    """
+    good = labels.where((F.col("label") == 1) & F.col("doc_id").isNotNull() & learn_from("doc_id")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    good = materialize(good.withColumn("good", F.lit(True)), "quality-good")
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & learn_from("doc_id")).join(F.broadcast(good), "doc_id", "left")
+    rows = rows.select("text", F.coalesce("good", F.lit(False)).alias("good"), F.pmod(F.xxhash64("text"), F.lit(2)).cast("int").alias("fold"))
+    feats = materialize(_featured(rows), "quality-features")
+    sums = sum_moments(feats)
+    p, u = sums[0, 1] + sums[1, 1], sums[0, 0] + sums[1, 0]
+    if not p[-1, -1] or not u[-1, -1]:
+        return Model(np.zeros(0), 0.0, 0.5)
+    prior, scale = estimate_prior(feats, sums), _scaling(u)
+    discard(feats, good)
+    w, _ = fit_nnpu(*(scale @ m @ scale.T / m[-1, -1] for m in (p, u)), prior)
+    w = w @ scale
+    return Model(w[:-1], float(w[-1]), prior)
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """docs with score (double) and predicted (int) added; the columns given pass through."""
+    return append_scores(docs, "text", "quality", lambda texts: model.score(quantised(texts)), threshold)
+
 
-    return docs.mapInArrow(run, schema)
+def keep(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs predicted 1, with docs' columns."""
+    return append_scores(docs, "text", "quality", lambda texts: model.score(quantised(texts)), threshold, only=True)

@@ -7,14 +7,15 @@ most 27**4 rows reach the driver whatever the corpus.
 Spans that look disguised are decoded by Viterbi search over a lattice: a look-alike stands for a letter
 ("1d10t"), separators between letters are dropped ("i d i o t", "i.d.i.o.t") or part words ("y o u i d i o t"), runs of a repeated
 letter shrink to one or two ("idiooot"). The language model scores the paths and the channel charges each
-change. All other words are taken as they are.
+change. The search is exact: a state is what later costs depend on (three letters and the length of a run), and
+none is pruned. All other words are taken as they are; a disguised word counts both as it stands and restored.
 
 Features are the restored words, and their prefixes and suffixes of four to six characters, present or not in
 the whole text. Those that best part the labelled sample are kept; a regression with L2 penalty weighs them.
 
 Edge cases: a null text is an empty one and gets the model's score for no feature; repeated ids are separate
 rows; labels with null id or label teach nothing; without labels of both classes every score is the share
-of label 1 (0 without labels); empty tables give empty results; further columns aren't looked at.
+of label 1 (0 without labels); empty tables give empty results; further columns pass through, and results whose names are taken get underscores added.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import alone, forget
+from larkspur.llm._common import append_scores, forget
 
 #: Most labelled documents that the regression is fitted on.
 SAMPLE = 12000
@@ -48,7 +49,8 @@ SEPARATORS = " .-_~'`·"
 COST_LOOKALIKE, COST_DROP, COST_LONG = 1.5, 0.5, 6.0
 #: Log cost of dropping one of two equal letters only.
 COST_PAIR = 4.0
-BEAM = 48
+#: A run of more equal marks or digits than this is a divider and stands for itself.
+DIVIDER = 16
 #: Log cost of parting words at a separator, and of not doing so at two blanks in a span of single ones.
 COST_PART, COST_JOIN = 1.0, 6.0
 #: Longest span that is remembered.
@@ -175,7 +177,7 @@ class Decoder:
             drop = COST_DROP if n > 2 else COST_PAIR
             plain = _PLAIN.get(c, 0)
             options = [(plain, c, 0.0)] if plain else []
-            options += [(ord(x) - 96, x, COST_LOOKALIKE) for x in LOOKALIKES.get(c, "")]
+            options += [(ord(x) - 96, x, COST_LOOKALIKE) for x in ("" if n > DIVIDER else LOOKALIKES.get(c, ""))]
             if not options:
                 options = [(0, c, 0.0)]
             new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
@@ -191,7 +193,7 @@ class Decoder:
                         s = score - cost - drop
                         if (past, run) not in new or s > new[past, run][0]:
                             new[past, run] = (s, text)
-            states = dict(sorted(new.items(), key=lambda x: -x[1][0])[:BEAM]) if len(new) > BEAM else new
+            states = new
         text = max(((s + float(flat[past * A]), t) for (past, _), (s, t) in states.items()), key=lambda x: x[0])[1]
         out = []
         while text is not None:
@@ -361,16 +363,4 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, lm: np.ndarray, sample
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score (double) and predicted (int) added; the columns given pass through."""
-    names = docs.columns
-    at = names.index("text")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
-
-    def run(batches):
-        import pyarrow as pa
-
-        alone("toxicity")
-        for b in batches:
-            s = np.array([x for i in range(0, b.num_rows, 256) for x in map(model.score, (t or "" for t in b.column(at).slice(i, 256).to_pylist()))], np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
-
-    return docs.mapInArrow(run, schema)
+    return append_scores(docs, "text", "toxicity", lambda texts: np.array(list(map(model.score, texts)), np.float64), threshold)

@@ -1,5 +1,6 @@
 """Quality, toxicity and licences: held-out accuracy, parts, odd rows."""
 
+import itertools
 import random
 
 import numpy as np
@@ -30,19 +31,119 @@ def test_quality_learns_without_negatives(documents, spark, odd):
     assert 0.5 < model.prior < 0.95
     out = {r.doc_id: r for r in quality.score(d, model).collect()}
     assert np.mean([out[i].predicted == int(i % 7 not in (0, 1)) for i in range(1, 400, 2)]) > 0.97
-    odd_out = quality.score(documents(odd).withColumn("score_", F.lit(1)), model).collect()
+    odd_out = quality.score(documents(odd).withColumn("text_", F.lit(1)), model).collect()
     assert len(odd_out) == len(odd) and all(0 <= r.score <= 1 for r in odd_out)
     none = quality.train(d, spark.createDataFrame([], "doc_id long, label int"), EVEN)
     assert {r.score for r in quality.score(d.limit(3), none).collect()} == {0.5}
     assert quality.score(documents([]), model).count() == 0
 
 
-def test_nnpu_risk_never_trains_below_zero():
+def test_nnpu_on_moments():
     rng = np.random.default_rng(0)
     p, u = rng.normal(1, 1, (2000, 3)), np.vstack([rng.normal(1, 1, (1400, 3)), rng.normal(-2, 1, (600, 3))])
-    w, b, risk = quality.fit_nnpu(p, u, 0.7)
-    assert risk >= 0 and ((p @ w + b) > 0).mean() > 0.9 and ((u[1400:] @ w + b) < 0).mean() > 0.8
-    assert 0.6 < quality.estimate_prior(p, u[rng.permutation(2000)]) < 0.85
+    mp, mu = (quality.moments(x) / len(x) for x in (p, u))
+    w = rng.normal(0, 0.3, 4)
+    gp, gu = (np.hstack([x, np.ones((len(x), 1))]) @ w for x in (p, u))
+    positive, negative, d_positive, d_negative = quality.nnpu_risk(w, mp, mu, 0.7)
+    assert np.isclose(positive, 0.7 * ((gp - 1) ** 2).mean()) and np.isclose(negative, ((gu + 1) ** 2).mean() - 0.7 * ((gp + 1) ** 2).mean())
+    for k in range(4):  # finite differences
+        e = np.eye(4)[k] * 1e-5
+        more, less = quality.nnpu_risk(w + e, mp, mu, 0.7), quality.nnpu_risk(w - e, mp, mu, 0.7)
+        assert np.isclose((more[0] - less[0]) / 2e-5, d_positive[k], atol=1e-5) and np.isclose((more[1] - less[1]) / 2e-5, d_negative[k], atol=1e-5)
+    for prior in (0.5, 0.7, 0.9):
+        w, risk = quality.fit_nnpu(mp, mu, prior)
+        assert risk >= 0
+        part = quality.nnpu_risk(w, mp, mu, prior)
+        assert np.isclose(risk, part[0] + max(0, part[1]))
+    w, _ = quality.fit_nnpu(mp, mu, 0.7)
+    g = np.hstack([u, np.ones((2000, 1))]) @ w
+    assert (g[:1400] > 0).mean() > 0.9 and (g[1400:] < 0).mean() > 0.9
+
+
+def test_prior_is_bounded_by_the_mixture():
+    rng = np.random.default_rng(1)
+    z = lambda m, n: np.bincount(quality.bins_of(rng.normal(m, 1, n)), minlength=quality.BINS)
+    assert 0.68 < quality.prior_bound(z(1, 20000), z(1, 14000) + z(-3, 6000)) < 0.74
+    assert quality.prior_bound(z(1, 0), z(1, 10)) == 1
+
+
+def test_quality_moments_cover_every_row(documents, spark):
+    rows = [(i, prose(random.Random(i), 20), "s") for i in range(50)] + [(None, "no id", "s"), (3, None, "s")]
+    d = documents(rows)
+    feats = quality._featured(d.select("text", (F.col("doc_id") < 10).alias("good"), (F.coalesce("doc_id", F.lit(0)) % 2).cast("int").alias("fold")).fillna(False))
+    sums = quality.sum_moments(feats.repartition(5))
+    x = quality.quantised([t or "" for _, t, _ in rows]) / quality.UNIT
+    assert np.allclose(sums[0, 0] + sums[1, 0], quality.moments(x)) and sums[0, 1][-1, -1] + sums[1, 1][-1, -1] == 11
+
+
+def test_results_give_way_to_columns_of_the_same_name(documents, spark):
+    d = documents([(i, prose(random.Random(i)), "s") for i in range(30)]).withColumn("score", F.lit("mine")).withColumn("predicted", F.lit(-1)).withColumn("x", F.array(F.lit(1)))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, label int")
+    model = quality.train(d, labels, lambda c: F.lit(True))
+    out = quality.score(d, model)
+    assert out.columns == [*d.columns, "score_", "predicted_"] and {(r.score, r.predicted) for r in out.collect()} == {("mine", -1)}
+    assert quality.keep(d, model).columns == d.columns and quality.keep(d, model).count() == out.where("predicted_ = 1").count()
+    lm = toxicity.language_model(toxicity.gram_counts(d))
+    tox = toxicity.score(d, toxicity.train(d, labels, lambda c: F.lit(True), lm))
+    assert tox.columns == [*d.columns, "score_", "predicted_"] and tox.count() == 30
+
+
+def brute_force(span, lm):
+    """All (score, text) of the lattice of a span, by enumeration."""
+    T, raw, gaps, gap = toxicity, [], [], ""
+    for c in span:
+        if c in T.SEPARATORS:
+            gap += c
+        else:
+            raw.append(c)
+            gaps.append(gap)
+            gap = ""
+    mixed = any(len(g) == 1 for g in gaps[1:])
+    runs = [len(list(g)) for _, g in itertools.groupby(raw) for g in [list(g)] for _ in g]
+    out = []
+
+    def code(text, k):
+        return [0 if c == " " else T._PLAIN.get(c, 0) for c in "   " + text][-k:]
+
+    def walk(i, score, history, text, run):
+        past = tuple(history[-3:])
+        if i == len(raw):
+            out.append((score + float(lm[past][0]), text))
+            return
+        ways = [(score, history, text, run)]
+        if i and gaps[i]:
+            wide = mixed and gaps[i].isspace() and len(gaps[i]) > 1
+            ways = [(score - (T.COST_JOIN if wide else 0), history, text, run)]
+            if history[-1]:
+                ways.append((score - (0 if wide else T.COST_PART) + float(lm[past][0]), [*history, 0], text + " ", 1))
+        c = raw[i]
+        options = [(T._PLAIN[c], c, 0)] if c in T._PLAIN else []
+        options += [(ord(x) - 96, x, T.COST_LOOKALIKE) for x in T.LOOKALIKES.get(c, "")]
+        for s, h, t, r in ways:
+            for k, char, cost in options or [(0, c, 0)]:
+                again = k and k == h[-1]
+                walk(i + 1, s - cost + float(lm[tuple(h[-3:])][k]) - (T.COST_LONG if again and r >= 2 else 0), [*h, k], t + char, min(r + 1, 3) if again else 1)
+                if again:
+                    walk(i + 1, s - cost - (T.COST_DROP if runs[i] > 2 else T.COST_PAIR), h, t, r)
+
+    walk(0, 0.0, [0, 0, 0], "", 0)
+    return out
+
+
+def test_viterbi_against_enumeration(documents):
+    d = small_decoder(documents)
+    rng = random.Random(9)
+    spans = ["1d10t", "i d i o t", "y0u  a r e", "***", "m*r*n", "ii1!|", "g.o a.w", "tt77tt"]
+    spans += ["".join(rng.choice("idot1!0*|a  .e7m") for _ in range(rng.randint(2, 8))).strip(" .") for _ in range(150)]
+    for span in filter(None, spans):
+        every = brute_force(span, d.lm)
+        best = max(s for s, _ in every)
+        assert d.decode(span) in {t for s, t in every if s > best - 1e-3}, span
+
+
+def test_dividers_stand_for_themselves(documents):
+    d = small_decoder(documents)
+    assert d.decode("a" + "*" * 5000 + "a") == "a" + "*" * 5000 + "a"
 
 
 def test_viterbi_restores(documents):
