@@ -54,7 +54,7 @@ class Val:
             return "object"
         if isinstance(t, (T.TimestampType, T.TimestampNTZType, T.DateType)):
             return "time"
-        return "null"
+        return "json" if isinstance(t, T.VariantType) else "null"
 
 
 DOUBLE, STRING, BOOL, LONG = T.DoubleType(), T.StringType(), T.BooleanType(), T.LongType()
@@ -66,6 +66,15 @@ def number(v: Val) -> Column:
     return v.col.cast("double")
 
 
+def required(c: Column, what: str) -> Column:
+    """The column; a null among it is an error, as it is in the language."""
+    return F.when(c.isNull(), F.raise_error(F.lit(f"null (null) {what}"))).otherwise(c)
+
+
+def strict(v: Val) -> Column:
+    return required(number(v), "number required")
+
+
 def truth(v: Val) -> Column:
     if v.kind == "boolean":
         return F.coalesce(v.col, F.lit(False))
@@ -81,13 +90,28 @@ def text(v: Val) -> Column:
     if v.kind == "number":
         if isinstance(v.type, (T.DoubleType, T.FloatType)):
             whole = (v.col == F.floor(v.col)) & (F.abs(v.col) < 1e17)
-            return F.coalesce(F.when(whole, v.col.cast("long").cast("string")).otherwise(v.col.cast("string")), F.lit("null"))
+            return F.coalesce(F.when(whole, v.col.cast("long").cast("string")).otherwise(_shown(v.col.cast("double"))), F.lit("null"))
         return F.coalesce(v.col.cast("string"), F.lit("null"))
     if v.kind == "null":
         return F.lit("null")
     raise Unsupported(f"text of {v.kind}")
 
 
+def _shown(c: Column) -> Column:
+    """A number that isn't whole and small, as the kernel prints it: plain from 1e-5 to 1e17, else d.ddde-NN."""
+    s = c.cast("string")
+    sign, digits = F.when(c < 0, "-").otherwise(""), F.regexp_replace(F.substring_index(s, "E", 1), r"^-|\.0$|\.", "")
+    n = F.substring_index(s, "E", -1).try_cast("int")
+    head = F.when(F.length(digits) > 1, F.concat(F.left(digits, F.lit(1)), F.lit("."), F.substr(digits, F.lit(2)))).otherwise(digits)
+    far = F.concat(sign, head, F.when(n < 0, "e-").otherwise("e+"), F.format_string("%02d", F.abs(n)))
+    small = F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -n - 1), digits)
+    large = F.concat(sign, F.left(digits, n + 1), F.lit("."), F.substr(digits, n + 2))
+    most = F.concat(sign, F.lit("1.7976931348623157e+308"))
+    return (
+        F.when(F.isnan(c), "null").when(F.abs(c) == float("inf"), most).when(~F.contains(s, F.lit("E")), s).when((n < -5) | (n > 16), far).when(n < 0, small).otherwise(large)
+    )
+
+
 # ---------------------------------------------------------------- relations
 
 
@@ -118,7 +142,8 @@ class Rel:
 
     def values(self) -> DataFrame:
         fields = self.row.fields if self.row.fields is not None else {"value": self.row}
-        out = self.df.select(*[v.column().alias(k) for k, v in fields.items()], *[k.col.alias(f"__o{i}") for i, k in enumerate(self.order)])
+        # values of no one type are given out as JSON texts
+        out = self.df.select(*[(F.to_json(v.column()) if v.kind == "json" else v.column()).alias(k) for k, v in fields.items()], *[k.col.alias(f"__o{i}") for i, k in enumerate(self.order)])
         return out.orderBy(*_sort([Key(F.col(f"__o{i}"), k.down) for i, k in enumerate(self.order)])).drop(*[f"__o{i}" for i in range(len(self.order))]) if self.order else out
 
 
@@ -184,6 +209,10 @@ def lookup(v: Val, name: str) -> Val:
         return literal(None)
     if isinstance(v.type, T.NullType):
         return v
+    if v.kind == "json" and "'" not in name:
+        shape = F.schema_of_variant(v.col)
+        found = F.try_variant_get(v.col, f"$['{name}']", "variant")
+        return Val(F.when(shape.startswith("OBJECT") | shape.isNull() | (shape == "VOID"), found).otherwise(F.raise_error(F.lit(f'Cannot index with "{name}"'))), v.type)
     raise Unsupported(f"field of {v.kind}")
 
 
@@ -239,7 +268,7 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
     elif op == "/" and a.kind == b.kind == "string":
         return Val(_split(a.col, b.col), T.ArrayType(STRING))
     elif a.kind == b.kind == "number":
-        x, y = number(a), number(b)
+        x, y = strict(a), strict(b)
         if op == "%":
             return Val((x.cast("long") % y.cast("long")).cast("double"), DOUBLE)
         return Val({"-": x - y, "*": x * y, "/": x / y}[op], DOUBLE)
@@ -248,7 +277,8 @@ def arithmetic(op: str, a: Val, b: Val) -> Val:
 
 def _split(s: Column, sep: Column) -> Column:
     quoted = F.concat(F.lit("\\Q"), sep, F.lit("\\E"))
-    return F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, quoted, -1))
+    letters = F.filter(F.split(s, F.lit("")), lambda c: c != "")
+    return F.when(s == "", F.array().cast("array<string>")).when(sep == "", letters).otherwise(F.split(s, quoted, -1))
 
 
 def _members(v: Val) -> list[Val]:
@@ -332,7 +362,7 @@ _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def _strings(v: Val) -> Column:
     if v.kind != "string":
         raise Unsupported("a string is needed")
-    return v.col
+    return required(v.col, "string required")
 
 
 def _array_add(v: Val) -> Val:
@@ -366,7 +396,7 @@ ONE = {
     "reverse": lambda v: Val(F.reverse(v.col), v.type),
     "sort": lambda v: Val(F.sort_array(v.col), v.type) if _element(v) else v,
     "unique": lambda v: Val(F.sort_array(F.array_distinct(v.col)), v.type) if _element(v) else v,
-    "min": lambda v: Val(F.array_min(v.col), _element(v)),
+    "min": lambda v: Val(F.when(~F.exists(v.col, lambda x: x.isNull()), F.array_min(v.col)), _element(v)),
     "max": lambda v: Val(F.array_max(v.col), _element(v)),
     "first": lambda v: Val(F.get(v.col, F.lit(0)), _element(v)),
     "last": lambda v: Val(F.try_element_at(v.col, F.lit(-1)), _element(v)),
@@ -375,6 +405,7 @@ ONE = {
     "abs": lambda v: Val(F.abs(v.col), v.type) if v.kind == "number" else literal(None),
     "todate": lambda v: Val(F.date_format(F.timestamp_seconds(F.floor(_seconds(v))), "yyyy-MM-dd'T'HH:mm:ss'Z'"), STRING),
     "fromdate": lambda v: Val(F.unix_timestamp(F.to_timestamp(_strings(v), "yyyy-MM-dd'T'HH:mm:ss'Z'")), LONG),
+    "fromjson": lambda v: Val(F.parse_json(_strings(v)), T.VariantType()),
     "tojson": lambda v: Val(F.to_json(v.column()), STRING) if v.kind in ("object", "array") else Val(text(v) if v.kind != "string" else F.to_json(F.array(v.col)).substr(F.lit(2), F.length(F.to_json(F.array(v.col))) - 2), STRING),
     "keys": lambda v: Val(F.array(*map(F.lit, sorted(v.fields))), T.ArrayType(STRING)) if v.fields is not None else Val(F.sequence(F.lit(0), F.size(v.col) - 1), T.ArrayType(T.IntegerType())),
     "@text": lambda v: Val(text(v), STRING),
@@ -387,7 +418,7 @@ ONE = {
     "infinite": lambda v: Val(F.lit(float("inf")), DOUBLE),
     "isinfinite": lambda v: Val(F.abs(number(v)) == float("inf"), BOOL),
     "gamma": None,
-    **{k: (lambda f: lambda v: Val(f(number(v)).cast("double"), DOUBLE))(f) for k, f in _MATH1.items()},
+    **{k: (lambda f: lambda v: Val(f(strict(v)).cast("double"), DOUBLE))(f) for k, f in _MATH1.items()},
 }
 ONE = {k: f for k, f in ONE.items() if f}
 ONE |= {"todateiso8601": ONE["todate"], "fromdateiso8601": ONE["fromdate"]}
@@ -423,7 +454,9 @@ def _call(name, args, v: Val, env) -> Val:
             x = expr(a, v, env)
             return Val(F.startswith(_strings(v), _strings(x)) if name == "startswith" else F.endswith(_strings(v), _strings(x)), BOOL)
         if name in ("ltrimstr", "rtrimstr"):
-            s, x = _strings(v), _strings(expr(a, v, env))
+            s, x = v.col, expr(a, v, env).col
+            if v.kind != "string":
+                raise Unsupported("what isn't a string stays as it is")
             keep = F.length(s) - F.length(x)
             return Val(F.when(F.startswith(s, x), F.right(s, keep)).otherwise(s) if name == "ltrimstr" else F.when(F.endswith(s, x), F.left(s, keep)).otherwise(s), STRING)
         if name == "split":
@@ -480,7 +513,7 @@ def _call(name, args, v: Val, env) -> Val:
             raise Unsupported("limit inside a row")
     if n == 2:
         if name in _MATH2:
-            return Val(_MATH2[name](number(expr(args[0], v, env)), number(expr(args[1], v, env))).cast("double"), DOUBLE)
+            return Val(_MATH2[name](strict(expr(args[0], v, env)), strict(expr(args[1], v, env))).cast("double"), DOUBLE)
         if name == "test":
             return Val(F.regexp_like(_strings(v), F.lit(java_regex(_string_arg(args[0]), _string_arg(args[1])))), BOOL)
         if name in ("gsub", "sub"):
@@ -552,7 +585,7 @@ def expr(e, v: Val, env: dict) -> Val:
         c, (a, b) = truth(expr(e[1], v, env)), _alike(expr(e[2], v, env), expr(e[3], v, env))
         return Val(F.when(c, a.column()).otherwise(b.column()), a.type if a.kind != "null" else b.type)
     if op == "neg":
-        return Val(-number(expr(e[1], v, env)), DOUBLE)
+        return Val(-strict(expr(e[1], v, env)), DOUBLE)
     if op == "str":
         if e[1] not in (None, "@text"):
             raise Unsupported("formatted strings")
@@ -563,6 +596,8 @@ def expr(e, v: Val, env: dict) -> Val:
     if op == "array":
         if e[1] is None:
             raise Unsupported("empty array")
+        if e[1][0] == "call" and e[1][1] == "scan" and len(e[1][2]) == 1 and "(" not in _string_arg(e[1][2][0]):
+            return Val(F.regexp_extract_all(_strings(v), F.lit(java_regex(_string_arg(e[1][2][0]))), F.lit(0)), T.ArrayType(STRING))
         return _collapse(e[1], v, env)
     if op == "var":
         if "$" + e[1] in env and isinstance(env["$" + e[1]], Val):
@@ -580,11 +615,16 @@ def expr(e, v: Val, env: dict) -> Val:
         return _call(e[1], e[2], v, env)
     if op == "def":
         return expr(e[4], v, {**env, f"{e[1]}/{len(e[2])}": (e[2], e[3])})
-    if op == "try" and e[2] is None:
+    if op == "try" and e[2] is None and _never_fails(e[1]):
         return expr(e[1], v, env)
     raise Unsupported(op)
 
 
+def _never_fails(e) -> bool:
+    """Members of typed rows: what isn't there is null. Of all else ? has errors to suppress, which a plan can't."""
+    return e[0] in ("id", "lit") or e[0] == "index" and e[2][0] in ("lit", "str") and _never_fails(e[1])
+
+
 def _alike(a: Val, b: Val) -> tuple[Val, Val]:
     if a.kind == b.kind == "number":
         return Val(number(a), DOUBLE), Val(number(b), DOUBLE)
@@ -619,7 +659,9 @@ def aggregate(e, rel: Rel, key_of=None) -> tuple[Column, T.DataType] | None:
                 return _reduced(rest[1], x, cond)
             if first[0] == "pipe" and first[2] == ("call", "unique", []) and rest[1] == "length":
                 x, cond = _elements(first[1], rel)
-                return F.count_distinct(F.when(cond, x.column()) if cond is not None else x.column()), LONG
+                null = x.column().isNull() if cond is None else x.column().isNull() & cond
+                different = F.count_distinct(F.when(cond, x.column()) if cond is not None else x.column())
+                return different + F.coalesce(F.max(F.when(null, 1)), F.lit(0)), LONG  # null is a value too
         inner = aggregate(first, rel, key_of)
         if inner is not None:
             out = expr(rest, Val(*inner), env)
@@ -627,10 +669,10 @@ def aggregate(e, rel: Rel, key_of=None) -> tuple[Column, T.DataType] | None:
     if op == "call" and e[1] in ("min_by", "max_by") and len(e[2]) == 1:
         k = expr(e[2][0], v, env)
         f = F.min_by if e[1] == "min_by" else F.max_by
-        return f(v.column(), k.column()), None
+        return f(v.column(), F.struct(k.column(), *[o.col for o in rel.order])), None
     if op == "index" and e[1] == ("index", ("id",), ("lit", 0)):
         x = lookup(v, _string_arg(e[2]))
-        return (F.min_by(x.column(), rel.order[0].col) if rel.order and not rel.order[0].down else F.first(x.column())), x.type
+        return _first(x, rel), x.type
     if op == "bin":
         a, b = aggregate(e[2], rel, key_of), aggregate(e[3], rel, key_of)
         if a and b:
@@ -645,6 +687,21 @@ def aggregate(e, rel: Rel, key_of=None) -> tuple[Column, T.DataType] | None:
     return None
 
 
+def _first(x: Val, rel: Rel) -> Column:
+    """The value in the relation's first row."""
+    down = {k.down for k in rel.order}
+    if len(down) != 1:
+        raise Unsupported("the first of rows in mixed order")
+    return (F.max_by if True in down else F.min_by)(x.column(), F.struct(*[k.col for k in rel.order]))
+
+
+def _takes_first(e) -> bool:
+    """Whether the order of rows matters to an aggregate: .[0], min_by, max_by."""
+    if isinstance(e, tuple) and e[:1] == ("index",) and e[1:] == (("id",), ("lit", 0)) or isinstance(e, tuple) and e[:1] == ("call",) and e[1] in ("min_by", "max_by"):
+        return True
+    return isinstance(e, (tuple, list)) and any(map(_takes_first, e))
+
+
 def _elements(e, rel: Rel):
     """(value, condition) of what map(f) or [.[] | f] takes of each row."""
     if e[0] == "call" and e[1] == "map":
@@ -689,13 +746,16 @@ def _reduced(name, v: Val, cond):
         return (F.count(F.when(cond, 1)) if cond is not None else F.count(F.lit(1))), LONG
     if name == "add" and v.kind == "number":
         return F.sum(kept.cast("double")), DOUBLE
+    null = c.isNull() if cond is None else c.isNull() & cond
     if name in ("min", "max") and v.kind in ("number", "string", "boolean", "time"):
-        return (F.min if name == "min" else F.max)(kept), v.type
+        # null is less than anything
+        return (F.when(F.coalesce(F.bool_or(null), F.lit(False)), F.lit(None)).otherwise(F.min(kept)) if name == "min" else F.max(kept)), v.type
     if name in ("any", "all"):
         t = truth(v)
         return F.coalesce((F.bool_or if name == "any" else F.bool_and)(F.when(cond, t) if cond is not None else t), F.lit(name == "all")), BOOL
     if name == "unique":
-        return F.sort_array(F.collect_set(kept)), T.ArrayType(v.type)
+        first = F.when(F.coalesce(F.bool_or(null), F.lit(False)), F.array(F.lit(None).cast(v.type))).otherwise(F.array().cast(T.ArrayType(v.type)))
+        return F.concat(first, F.sort_array(F.collect_set(kept))), T.ArrayType(v.type)
     raise Unsupported(f"{name} of {v.kind}")
 
 
@@ -854,11 +914,28 @@ def _each(e, rel: Rel) -> Rel:
     if op == "comma":
         items: list = []
         _flat(e, items)
-        outs = [rebase(stage(x, replace(rel, df=rel.df)), stage(x, rel).row) for x in items]
-        df = outs[0].df
-        for o in outs[1:]:
-            df = df.unionByName(o.df)
-        return replace(outs[0], df=df, order=())
+        try:
+            vals = [expr(x, rel.row, rel.env) for x in items]
+        except Unsupported:
+            vals = []
+        if vals:  # each branch has one result: all come from one scan, row by row
+            vals = _same_shape(vals)
+            df = rel.df.select("*", F.posexplode(F.array(*[x.column() for x in vals])).alias("__branch", "__out"))
+            t = df.schema["__out"].dataType
+            names = list(vals[0].fields or {})
+            row = Val(fields={k: Val(F.col("__out").getField(k), t[k].dataType) for k in names}) if names else Val(F.col("__out"), t)
+            return replace(rel, df=df, row=row, order=(*rel.order, Key(F.col("__branch"))) if rel.order else ())
+        rel = numbered(rel)
+        outs = [stage(x, rel) for x in items]
+        rows = _same_shape([o.row for o in outs])
+        outs = [rebase(replace(o, order=(*rel.order, Key(F.lit(i)), *o.order[len(rel.order) :])), r) for i, (o, r) in enumerate(zip(outs, rows, strict=True))]
+        keys = len(rel.order) + 1
+        df = None
+        for o in outs:  # what orders the results of one branch further has no counterpart in another
+            if len(o.order) > keys:
+                raise Unsupported("branches in orders of their own")
+            df = o.df if df is None else df.unionByName(o.df)
+        return replace(outs[0], df=df, order=outs[0].order)
     if op == "as" and len(e[2]) == 1 and e[2][0][0] == "pvar":
         if e[1][0] == "iter":
             x = _each(e[1], rel)
@@ -868,6 +945,24 @@ def _each(e, rel: Rel) -> Rel:
     return rebase(rel, out) if not rel.env.get("__joined") else replace(rebase(rel, out), env={k: x for k, x in rel.env.items() if k != "__joined"})
 
 
+def _same_shape(vals: list[Val]) -> list[Val]:
+    """Values of one type for one column, or Unsupported."""
+    if all(v.fields is not None for v in vals):
+        if len({tuple(v.fields) for v in vals}) > 1:
+            raise Unsupported("branches of different members")
+        columns = [_same_shape(list(c)) for c in zip(*[v.fields.values() for v in vals], strict=True)]
+        return [Val(fields=dict(zip(v.fields, c, strict=True))) for v, c in zip(vals, zip(*columns, strict=True), strict=True)]
+    kinds = {v.kind for v in vals} - {"null"}
+    if len(kinds) > 1 or any(v.fields is not None for v in vals) or kinds & {"object", "time", "json"}:
+        raise Unsupported("branches of different kinds")
+    if kinds == {"number"} and len({v.type for v in vals}) > 1:
+        return [Val(number(v) if v.kind == "number" else F.lit(None).cast("double"), DOUBLE) for v in vals]
+    t = next((v.type for v in vals if v.kind != "null"), None)
+    if t is None:
+        raise Unsupported("branches of null")
+    return [v if v.kind != "null" else Val(F.lit(None).cast(t), t) for v in vals]
+
+
 def _whole(e, rel: Rel) -> Rel:
     """A stage applied to the array of all rows."""
     op = e[0]
@@ -949,6 +1044,8 @@ def _whole(e, rel: Rel) -> Rel:
             for c in cond[1:]:
                 whole = whole & c
             return replace(x, df=x.df.join(other, whole, "left_anti"))
+    rel = numbered(rel) if _takes_first(e) else rel
+    v = rel.row
     if op == "object":
         aggs = {}
         for k, x in e[1]:
@@ -1004,6 +1101,7 @@ def _grouped(e, rel: Rel) -> Rel:
     body = e[2][0] if e[0] == "call" and e[1] == "map" else e if not rel.slurped else None
     if body is None:
         raise Unsupported("that of groups")
+    rel = numbered(rel) if _takes_first(body) else rel
     names = [f"__k{i}" for i in range(len(rel.keys))]
     fields = None
     if body[0] == "object":

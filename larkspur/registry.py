@@ -95,21 +95,21 @@ planned("join_lookup", "customer", "INDEX($nation[]; .n_nationkey) as $n | .[] |
 planned("join_group", "orders", "INDEX($customer[]; .c_custkey) as $c | map({segment: $c[.o_custkey | tostring].c_mktsegment, price: .o_totalprice}) | group_by(.segment) | map({segment: .[0].segment, n: length, price: (map(.price) | add)})", "SELECT c_mktsegment AS segment, count(*) AS n, round(sum(o_totalprice), 2) AS price FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1", slurp=True, others=("customer",))
 planned("join_inner", "orders", "INDEX($customer[]; .c_custkey) as $c | .[] | {k: .o_orderkey, name: $c[.o_custkey | tostring].c_name} | select(.name != null)", "SELECT o_orderkey AS k, c_name AS name FROM orders JOIN customer ON o_custkey = c_custkey", slurp=True, others=("customer",))
 planned("semi_join", "customer", "map(select(.c_custkey | IN($orders[] | select(.o_totalprice > 400000) | .o_custkey)) | {c_custkey}) | .[]", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", slurp=True, others=("orders",))
-planned("anti_join", "customer", "map(select(.c_custkey | IN($orders[] | .o_custkey) | not) | {c_custkey}) | .[]", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)", slurp=True, others=("orders",))
+planned("anti_join", "customer", "map(select(.c_custkey | IN($orders[] | select(.o_totalprice > 300000) | .o_custkey) | not) | {c_custkey}) | .[]", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 300000)", slurp=True, others=("orders",))
 planned("union_all", "nation", "map({id: .n_regionkey, name: .n_name}) + ($region | map({id: .r_regionkey, name: .r_name})) | .[]", "SELECT n_regionkey AS id, n_name AS name FROM nation UNION ALL SELECT r_regionkey, r_name FROM region", slurp=True, others=("region",))
 planned("union_distinct", "nation", "map({id: .n_regionkey}) + ($region | map({id: .r_regionkey})) | unique | .[]", "SELECT n_regionkey AS id FROM nation UNION SELECT r_regionkey FROM region", slurp=True, others=("region",))
-planned("except_rows", "customer", "map({k: .c_custkey}) - ($orders | map({k: .o_custkey})) | .[]", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", slurp=True, others=("orders",))
-kernel("json_navigation", "events", "{id: .event_id, k: (.props | fromjson | .k)}", "SELECT '{\"id\":' || event_id || ',\"k\":' || coalesce(json_extract(props, '$.k')::VARCHAR, 'null') || '}' AS value FROM events")
-kernel("entries", "nation", "to_entries | map(.key) | join(\",\")", "SELECT '\"n_nationkey,n_name,n_regionkey\"' AS value FROM nation")
+planned("except_rows", "customer", "map({k: .c_custkey}) - ($orders | map(select(.o_totalprice > 300000)) | map({k: .o_custkey})) | .[]", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000", slurp=True, others=("orders",))
+planned("json_navigation", "events", "{id: .event_id, k: (.props | fromjson | .k)}", "SELECT event_id AS id, json_extract(props, '$.k')::VARCHAR AS k FROM events")
+kernel("entries", "nation", "to_entries | map(\"\\(.key)=\\(.value)\") | join(\",\")", "SELECT '\"n_nationkey=' || n_nationkey || ',n_name=' || n_name || ',n_regionkey=' || n_regionkey || '\"' AS value FROM nation")
 kernel("entries_update", "region", "with_entries(.key |= ltrimstr(\"r_\")) | .name |= ascii_downcase | del(.regionkey)", "SELECT '{\"name\":\"' || lower(r_name) || '\"}' AS value FROM region")
-kernel("paths_recurse", "region", "[paths] | length, ([.. | scalars] | length)", "SELECT '2' AS value FROM region UNION ALL SELECT '2' FROM region")
-kernel("combinations", "region", "[[.r_regionkey, 10], [1, 2]] | [combinations] | length", "SELECT '4' AS value FROM region")
+kernel("paths_recurse", "region", "{a: [.r_regionkey, .r_name]} | ([paths | join(\"/\") ] | join(\" \")), ([.. | scalars | tostring] | join(\",\"))", "SELECT '\"a a/0 a/1\"' AS value FROM region UNION ALL SELECT '\"' || r_regionkey || ',' || r_name || '\"' FROM region")
+kernel("combinations", "region", "[[.r_regionkey, 10], [1, 2]] | [combinations | add] | tojson", "SELECT '\"[' || (r_regionkey + 1) || ',' || (r_regionkey + 2) || ',11,12]\"' AS value FROM region")
 kernel("transpose", "nation", "[[.n_nationkey, .n_regionkey], [1]] | transpose | tojson", "SELECT '\"[[' || n_nationkey || ',1],[' || n_regionkey || ',null]]\"' AS value FROM nation")
-kernel("regex_scan", "part", '.p_name | [scan("[a-z]+")] | length', "SELECT len(regexp_extract_all(p_name, '[a-z]+'))::VARCHAR AS value FROM part")
+planned("regex_scan", "part", '{p_partkey, n: (.p_name | [scan("[a-z]+")] | length)}', "SELECT p_partkey, len(regexp_extract_all(p_name, '[a-z]+'))::BIGINT AS n FROM part")
 kernel("regex_capture", "customer", '.c_name | capture("(?<w>[A-Za-z]+)#0*(?<n>[0-9]+)") | .n | tonumber', "SELECT c_custkey::VARCHAR AS value FROM customer")
 kernel("range_until", "region", "[range(0; .r_regionkey + 3)] | add, (1 | until(. > 100; . * 2))", "SELECT ((r_regionkey + 3) * (r_regionkey + 2) // 2)::VARCHAR AS value FROM region UNION ALL SELECT '128' FROM region")
 kernel("try_catch", "nation", "try (if .n_nationkey % 2 == 0 then error(\"even\") else .n_name end) catch .", "SELECT CASE WHEN n_nationkey % 2 = 0 THEN '\"even\"' ELSE '\"' || n_name || '\"' END AS value FROM nation")
-kernel("label_break", "nation", "[label $f | range(10) | ., (select(. == 3) | break $f)] | length", "SELECT '4' AS value FROM nation")
+kernel("label_break", "nation", "[label $f | range(10) as $i | $i, (select($i == .n_regionkey) | break $f)] | length", "SELECT (n_regionkey + 1)::VARCHAR AS value FROM nation")
 kernel("stream_events", "region", "([tostream] | length), (fromstream(tostream) | .r_name)", "SELECT '3' AS value FROM region UNION ALL SELECT '\"' || r_name || '\"' FROM region")
 kernel("formats_csv", "nation", "[.n_nationkey, .n_name] | @csv, @base64", "SELECT '\"' || n_nationkey || ',\\\"' || n_name || '\\\"\"' AS value FROM nation UNION ALL SELECT '\"' || base64(('[' || n_nationkey || ',\"' || n_name || '\"]')::BLOB) || '\"' FROM nation")
-kernel("walk_update", "nation", "walk(if type == \"number\" then . + 1 else . end) | .n_nationkey + .n_regionkey", "SELECT (n_nationkey + n_regionkey + 2)::VARCHAR AS value FROM nation")
+kernel("walk_update", "supplier", "walk(if type == \"number\" then . + 1 else . end) | .s_suppkey + .s_nationkey", "SELECT (s_suppkey + s_nationkey + 2)::VARCHAR AS value FROM supplier")

@@ -4,7 +4,7 @@ import os
 
 import pytest
 
-from larkspur import registry
+from larkspur import catalogue, registry  # noqa: F401
 from larkspur.operators import columns
 
 SF = "/root/testdata/sf0.001"
