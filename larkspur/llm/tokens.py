@@ -10,7 +10,7 @@ where the index is zstandard-compressed JSON: the block size, for each block its
 planes, and for each document its id and number of tokens. Blocks run across documents, so a reader seeks to
 any token by block number.
 
-Documents are range-partitioned by id (equal ids are parted further by text, so that no id is one task's),
+Documents are range-partitioned by id (equal ids are parted further by text and by place, so that no id is one task's),
 sorted, encoded, and written by each task into files of its own, under names that no other attempt uses.
 Only files named in the manifest, a Parquet table in the same folder, count; what a lost attempt left is
 never read.
@@ -43,10 +43,10 @@ from larkspur.llm._common import alone, forget, materialize, scratch_path
 MAGIC = b"LKSPLN1\n"
 #: Ids in a block.
 BLOCK = 1 << 16
-#: A task goes on with another file after so many ids.
-FILE_IDS = 1 << 27
-#: Chunks whose ids a worker remembers: the first that it meets.
-REMEMBERED = 1_000_000
+#: A task goes on with another file after so many ids, or so many documents: what a file's index lists.
+FILE_IDS, FILE_DOCS = 1 << 27, 1 << 18
+#: Bytes of chunks and their ids that a worker remembers, objects' heads included: the first that it meets.
+REMEMBERED = 256 << 20
 # white space as the tokenizer's pattern has it, which differs from Python's
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf"[{_W}]*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])|[{_W}]*[^{_W}]+|[{_W}]+")
@@ -187,6 +187,7 @@ class Encoder:
         self.cut = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         self.added = re.compile("|".join(re.escape(t["content"]) for t in spec.get("added_tokens", []))) if spec.get("added_tokens") else None
         self.known: dict[str, bytes] = {}
+        self.held = 0
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -210,8 +211,9 @@ class Encoder:
         for i, ks in missing.items():
             for k, c in ks:
                 found[i][k] = fresh[c]
-        if len(self.known) < REMEMBERED:
+        if self.held < REMEMBERED:
             self.known.update(fresh)
+            self.held += sum(200 + 2 * len(c) + len(x) for c, x in fresh.items())
         for i, ids in found.items():
             out[i] = b"".join(ids)
         return [out[i] for i in range(len(texts))]
@@ -227,7 +229,7 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
 # ---------------------------------------------------------------- the operator
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kind: str = "byte", block: int = BLOCK, end_id: int | None = 0, file_ids: int = FILE_IDS, special_as_text: bool = False) -> str:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kind: str = "byte", block: int = BLOCK, end_id: int | None = 0, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS, special_as_text: bool = False) -> str:
     """Encode docs (doc_id, text) into files under ``folder`` and return it. Its manifest is folder/manifest."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "tokens")
@@ -261,7 +263,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kin
                         out = store.open_output_stream(f"{root}/{name}")
                         writer = Writer(out, kind, block)
                     writer.add(doc_id, np.frombuffer(ids + ending, "<u4"))
-                    if writer.n_ids >= file_ids:
+                    if writer.n_ids >= file_ids or len(writer.docs) >= file_docs:
                         close()
         if writer is not None:
             close()
@@ -269,7 +271,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kin
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["part", "seq", "name", "n_ids", "n_docs"])
 
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    d = d.withColumn("tie", F.xxhash64("text")).repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    # rows equal in both are parted by where they were read
+    d = d.withColumn("tie", F.xxhash64("text")).withColumn("read", F.monotonically_increasing_id())
+    d = d.repartitionByRange("doc_id", "tie", "read").sortWithinPartitions("doc_id", "tie", "text")
     manifest = d.select("doc_id", "text").mapInArrow(run, "part int, seq int, name string, n_ids long, n_docs long")
     manifest.write.parquet(f"{folder}/manifest")
     return folder
