@@ -28,7 +28,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import BROADCAST_BYTES, materialize, scratch_path
+from larkspur.llm._common import BROADCAST_BYTES, HOT_SHARE, materialize, scratch_path, spread_join
 
 #: A task goes on with another archive after so many compressed bytes.
 FILE_BYTES = 64 << 20
@@ -97,10 +97,17 @@ def write_archives(pages: DataFrame, page_id="page_id", url="url", payload="html
     p = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(payload).cast("string"), F.lit("")).alias("payload"))
     p = p.withColumn("sha", F.sha1(F.col("payload").cast("binary")))
     groups = p.where(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1 AND keep IS NOT NULL")
-    groups = materialize(groups.select(F.col("sha").alias("g_sha"), "keep"), "warc-groups")
-    small = F.broadcast(groups) if groups.count() * 96 <= BROADCAST_BYTES else groups
+    groups = materialize(groups.select(F.col("sha").alias("g_sha"), "keep", "n"), "warc-groups")
+    n_groups = groups.count()
+    if n_groups * 96 <= BROADCAST_BYTES:
+        rows = p.join(F.broadcast(groups.drop("n")), F.col("sha") == F.col("g_sha"), "left")
+    else:  # payloads of a digest that many pages have aren't shuffled to one task: their groups, few at any size, are broadcast
+        total = p.count()
+        hot, rest = (groups.where(c).drop("n") for c in (F.col("n") * HOT_SHARE > total, F.col("n") * HOT_SHARE <= total))
+        cold = p.join(F.broadcast(hot), F.col("sha") == F.col("g_sha"), "left_anti")
+        rows = p.join(F.broadcast(hot), F.col("sha") == F.col("g_sha")).unionByName(cold.join(rest, F.col("sha") == F.col("g_sha"), "left"))
     # revisits carry no payload
-    rows = p.join(small, p["sha"] == small["g_sha"], "left").withColumn("revisit", F.expr("keep IS NOT NULL AND (page_id IS NULL OR page_id < keep)"))
+    rows = rows.withColumn("revisit", F.expr("keep IS NOT NULL AND (page_id IS NULL OR page_id < keep)"))
     rows = rows.select("page_id", "url", "sha", "revisit", F.when(~F.col("revisit"), F.col("payload")).alias("payload"))
 
     def run(batches):
@@ -223,8 +230,7 @@ def resolve(captures: DataFrame, page_field: str = "page-id") -> DataFrame:
     full = c.where("record_type = 'response'").groupBy("payload_digest").agg(F.max("page_id").alias("to"), F.max("payload_bytes").alias("size")).withColumnRenamed("payload_digest", "d")
     revisits = c.where("record_type = 'revisit'")
     # only digests that are revisited
-    wanted = full.join(revisits.select(F.col("payload_digest").alias("d")).distinct(), "d", "left_semi")
+    wanted = revisits.groupBy(F.coalesce("payload_digest", F.lit("")).alias("d")).agg(F.count(F.lit(1)).alias("c")).join(full, "d", "left")
     wanted = materialize(wanted, "warc-wanted")
-    small = F.broadcast(wanted) if wanted.count() * 96 <= BROADCAST_BYTES else wanted
-    found = revisits.join(small, revisits["payload_digest"] == small["d"], "left").select("page_id", "record_type", "payload_digest", F.col("size").alias("payload_bytes"), F.col("to").alias("refers_to"))
+    found = spread_join(revisits.withColumn("d", F.coalesce("payload_digest", F.lit(""))), wanted, "d", "c", revisits.count()).select("page_id", "record_type", "payload_digest", F.col("size").alias("payload_bytes"), F.col("to").alias("refers_to"))
     return c.where("record_type = 'response'").select("page_id", "record_type", "payload_digest", "payload_bytes", F.lit(None).cast("long").alias("refers_to")).unionByName(found)
