@@ -15,16 +15,21 @@ empty tables give empty results. One output row is one pair, so a pair has to fi
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 START, AFTER_ROLE, END, AFTER = "<|im_start|>", "\n", "<|im_end|>", "\n"
 
 
 def _sides(turns: DataFrame, pair: Column, is_chosen: Column, turn: str, role: str, text: str) -> DataFrame:
-    t = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    t = turns.select(pair.alias("pair_id"), is_chosen.alias("ok"), F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    # where each turn starts when rendered; the window and the groups share one shuffle
+    before = W.partitionBy("pair_id", "ok").orderBy("turn", "role", "text").rowsBetween(W.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("role") + F.length("text") + F.lit(len(START + AFTER_ROLE + END + AFTER))).over(before), F.lit(0)).cast("int")
     return (
-        turns.select(pair.alias("pair_id"), is_chosen.alias("ok"), t.alias("t"))
-        .where("pair_id IS NOT NULL AND ok IS NOT NULL")
+        t.where("pair_id IS NOT NULL AND ok IS NOT NULL")
+        .repartition("pair_id")
+        .select("pair_id", "ok", F.struct("turn", "role", "text", at.alias("at")).alias("t"))
         .groupBy("pair_id")
         .agg(F.sort_array(F.collect_list(F.when(F.col("ok"), F.col("t")))).alias("c"), F.sort_array(F.collect_list(F.when(~F.col("ok"), F.col("t")))).alias("r"))
     )
@@ -35,14 +40,9 @@ def _rendered(turns: str) -> str:
 
 
 def _mask(turns: str, learn: str) -> str:
-    """Spans [start, end) of the rendered turns that are learnt from."""
-    head = len(START) + len(AFTER_ROLE)
-    whole = head + len(END) + len(AFTER)
-    step = (
-        f"named_struct('at', a.at + {whole} + length(t.role) + length(t.text), 'spans', CASE WHEN t.role = '{learn}' THEN "
-        f"concat(a.spans, array(named_struct('start', a.at + {head} + length(t.role), 'end', a.at + {head + len(END)} + length(t.role) + length(t.text)))) ELSE a.spans END)"
-    )
-    return f"aggregate({turns}, named_struct('at', 0, 'spans', cast(array() AS array<struct<start: int, end: int>>)), (a, t) -> {step}, a -> a.spans)"
+    """Spans [start, end) of the rendered turns that are learnt from, counted from the first of them."""
+    head = f"t.at - get({turns}, 0).at + {len(START) + len(AFTER_ROLE)} + length(t.role)"
+    return f"transform(filter({turns}, t -> t.role = '{learn}'), t -> named_struct('start', {head}, 'end', {head} + length(t.text) + {len(END)}))"
 
 
 def preference_pairs(turns: DataFrame, pair: Column, is_chosen: Column, turn="turn", role="role", text="text", learn: str = "assistant") -> DataFrame:
