@@ -26,6 +26,12 @@ COMMON = {
     "fr": ["de", "la", "le", "et", "les", "des", "en", "un"],
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das"],
     "es": ["de", "la", "que", "el", "en", "y", "los", "del"],
+    "pt": ["de", "a", "o", "que", "e", "do", "da", "em"],
+    "it": ["di", "e", "il", "la", "che", "in", "un", "per"],
+    "nl": ["de", "van", "het", "een", "en", "in", "is", "dat"],
+    "sv": ["och", "i", "att", "det", "som", "en", "av", "den"],
+    "pl": ["w", "i", "na", "z", "do", "nie", "o", "jest"],
+    "tr": ["ve", "bir", "bu", "da", "de", "ile", "olarak", "olan"],
 }
 N_COMMON = 8
 SYMBOLS = "#*$%&|<>"
