@@ -3,8 +3,10 @@
 import math
 import random
 import re
+import unicodedata
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from larkspur.llm import _common, chat, decontam, mixing, rules
@@ -93,6 +95,53 @@ def test_rules_counts(documents, odd):
     assert got == sorted(want, key=str)
 
 
+def js(p, q):
+    p, q = (np.array(x, float) / sum(x) for x in (p, q))
+    m = (p + q) / 2
+    kl = lambda a: sum(x * math.log2(x / y) for x, y in zip(a, m) if x)
+    return math.sqrt(max(0.0, (kl(p) + kl(q)) / 2))
+
+
+def test_jensen_shannon_distance(spark):
+    rng = np.random.default_rng(0)
+    rows = [([int(x) for x in rng.integers(0, 9, 6)], [int(x) for x in rng.integers(1, 50, 6)]) for _ in range(40)] + [([0] * 6, [1] * 6), ([3] * 6, [5] * 6), ([1, 0], [0, 7])]
+    got = spark.createDataFrame(rows, "p array<long>, q array<long>").selectExpr("p", "q", f"{rules.js_distance('p', 'q')} AS d").collect()
+    for r in got:
+        assert r.d is None if not sum(r.p) else math.isclose(r.d, js(r.p, r.q), abs_tol=1e-7)
+
+
+def test_rules_distances_against_brute_force(documents):
+    rng = random.Random(31)
+    vocab = ["the", "of", "and", "Der", "und", "cat", "river", "x1", "É"]
+    rows = []
+    for i in range(60):
+        w = [rng.choice(vocab if i % 5 else ["%%", "77", "A"]) for _ in range(rng.randint(40, 90))]
+        rows.append((i, rng.choice([" ", "  ", "\n", ", "]).join(w) + f" tail{i} " + " ".join(f"u{i}v{k}" for k in range(60)), "s"))
+    docs = documents(rows).withColumn("lang", F.expr("CASE WHEN doc_id % 3 = 0 THEN 'de' WHEN doc_id % 3 = 1 THEN 'en' WHEN doc_id % 2 = 0 THEN 'xx' END"))
+    hist, com, lang, ok = {}, {}, {}, {}
+    for i, t, _ in rows:
+        lang[i] = "de" if i % 3 == 0 else "en" if i % 3 == 1 else "xx" if i % 2 == 0 else None
+        kind = [0 if unicodedata.category(c) == "Ll" else 1 if unicodedata.category(c) == "Lu" else 2 if c in "0123456789" else 3 if c in rules.PUNCTUATION else 4 if c in rules.SPACE else 5 for c in t]
+        hist[i] = [kind.count(k) for k in range(6)]
+        if lang[i] in rules.COMMON:
+            low = re.split(r'[\x20\x09-\x0D.,;:!?"()]+', t.lower())
+            com[i] = [low.count(w) for w in rules.COMMON[lang[i]]]
+            com[i].append(max(0, len(words(t)) - sum(com[i])))
+        ok[i] = len(words(t)) >= 50 and 100 * repeat_words(words(t)) <= 50 * len(words(t))
+    total = lambda ids, h: [sum(x) for x in zip(*(h[i] for i in ids))]
+    group = lambda i, among: [k for k in among if lang[k] == lang[i]]
+    first = [i for i in ok if ok[i]]
+    near = [i for i in first if js(hist[i], total(group(i, first), hist)) <= 0.15]
+    for r in rules.judge(docs).collect():
+        ref = group(r.doc_id, near)
+        judged = r.word_chars >= 200 and ref
+        want = js(hist[r.doc_id], total(ref, hist)) if judged else None
+        assert (r.class_distance is None) == (want is None) and (want is None or math.isclose(r.class_distance, want, abs_tol=1e-7))
+        want_com = js(com[r.doc_id], total(ref, com)) if ref and r.doc_id in com and r.n_words >= 50 and sum(com[r.doc_id]) else None
+        assert (r.common_distance is None) == (want_com is None) and (want_com is None or math.isclose(r.common_distance, want_com, abs_tol=1e-7))
+        assert r.kept == (ok[r.doc_id] and (want or 0) <= 0.16 and (want_com or 0) <= 0.45)
+
+
 def test_rules_verdict(documents):
     rng = random.Random(3)
     vocab = [a + b for a in "thr she lor ban wen".split() for b in "ing and or el ta en".split()]
@@ -122,6 +171,30 @@ def test_chat(spark):
     assert chat.preference_pairs(t.where("false"), F.col("conv_id"), F.lit(True)).count() == 0
 
 
+def test_chat_long_and_tied(spark):
+    """Thousands of turns, repeated rows and turns of equal number: spans against a plain loop."""
+    rng = random.Random(32)
+    rows = [(c, i // 2 if c == 2 else i, rng.choice(["user", "assistant"]), f"text {rng.random()}" * (i % 4)) for c in (0, 2) for i in range(3000)]
+    rows += [(1, *r[1:]) for r in rows if r[0] == 0 and r[1] < 1500] + [(3, 0, "assistant", "same")] * 3
+    t = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = chat.preference_pairs(t, F.shiftright("conv_id", 1), F.col("conv_id") % 2 == 0)
+    assert not python_nodes(pairs)
+    for p in pairs.collect():
+        sides = [sorted(r[1:] for r in rows if r[0] == 2 * p.pair_id + k) for k in (0, 1)]
+        k = 0
+        while k < min(map(len, sides)) and sides[0][k][1:] == sides[1][k][1:]:
+            k += 1
+        assert p.n_prompt_turns == k
+        for turns, out, mask in zip(sides, (p.chosen, p.rejected), (p.chosen_mask, p.rejected_mask)):
+            spans, at = [], 0
+            for _, role, text in turns[k:]:
+                whole = f"<|im_start|>{role}\n{text}<|im_end|>\n"
+                if role == "assistant":
+                    spans.append((at + len("<|im_start|>assistant\n"), at + len(whole) - 1))
+                at += len(whole)
+            assert len(out) == at and [tuple(s) for s in mask] == spans
+
+
 def shingle_set(t):
     ws = [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     return {" ".join(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
