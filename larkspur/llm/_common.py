@@ -109,11 +109,44 @@ def crc_mod(id_col: str, mod: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+#: Bytes of an Arrow batch that the operators' tasks are handed: long texts come fewer at a time.
+BATCH_BYTES = 8 << 20
+
+_last_owner = ""
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have the session cut Arrow batches at BATCH_BYTES, unless it cuts them finer."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name).lower().rstrip("b")
+    unit = {"k": 10, "m": 20, "g": 30}.get(now[-1:], 0)
+    held = int(now.rstrip("kmg") or 0) << unit
+    if not 0 < held <= BATCH_BYTES:
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 def alone(owner: str) -> None:
-    """At the start of a task: drop what other operators remember in this worker, so that one cache is held at a time."""
+    """At the start of a task: drop what other operators remember in this worker, so that one cache is held at a time.
+
+    Where the operator has changed, memory that was freed goes back to the machine too.
+    """
+    global _last_owner
+    if owner == _last_owner:
+        return
+    _last_owner = owner
     for name, drop in forget.items():
         if name != owner:
             drop()
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def append_scores(docs: DataFrame, text_col: str, owner: str, score, threshold: float, only: bool = False) -> DataFrame:
@@ -121,6 +154,7 @@ def append_scores(docs: DataFrame, text_col: str, owner: str, score, threshold:
 
     score: an array from a list of texts. only: the rows predicted 1 alone, with the columns given and no more.
     """
+    small_batches(docs.sparkSession)
     names, at = docs.columns, docs.columns.index(text_col)
     new = [fresh(names, "score"), fresh(names, "predicted")]
     schema = docs.schema if only else T.StructType([*docs.schema.fields, T.StructField(new[0], T.DoubleType()), T.StructField(new[1], T.IntegerType())])

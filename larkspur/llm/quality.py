@@ -28,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import alone, append_scores, discard, materialize
+from larkspur.llm._common import alone, append_scores, discard, materialize, small_batches
 
 #: Most documents labelled good that the classifier is fitted on; their ids are broadcast.
 SAMPLE = 100_000
@@ -268,6 +268,7 @@ def train(docs: DataFrame, labels: DataFrame, learn_from, sample: int = SAMPLE)
 
     docs: doc_id, text. labels: doc_id, label. learn_from(column): which ids may be learnt from.
     """
+    small_batches(docs.sparkSession)
     good = labels.where((F.col("label") == 1) & F.col("doc_id").isNotNull() & learn_from("doc_id")).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     good = materialize(good.withColumn("good", F.lit(True)), "quality-good")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull() & learn_from("doc_id")).join(F.broadcast(good), "doc_id", "left")

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import alone, forget, materialize, scratch_path
+from larkspur.llm._common import alone, forget, materialize, scratch_path, small_batches
 
 MAGIC = b"LKSPLN1\n"
 #: Ids in a block.
@@ -46,7 +46,7 @@ BLOCK = 1 << 16
 #: A task goes on with another file after so many ids, or so many documents: what a file's index lists.
 FILE_IDS, FILE_DOCS = 1 << 27, 1 << 18
 #: Bytes of chunks and their ids that a worker remembers, objects' heads included: the first that it meets.
-REMEMBERED = 256 << 20
+REMEMBERED = 192 << 20
 # white space as the tokenizer's pattern has it, which differs from Python's
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf"[{_W}]*[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[.,;:!?])|[{_W}]*[^{_W}]+|[{_W}]+")
@@ -232,6 +232,7 @@ def encoder(path: str, special_as_text: bool = False) -> Encoder:
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kind: str = "byte", block: int = BLOCK, end_id: int | None = 0, file_ids: int = FILE_IDS, file_docs: int = FILE_DOCS, special_as_text: bool = False) -> str:
     """Encode docs (doc_id, text) into files under ``folder`` and return it. Its manifest is folder/manifest."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = folder or scratch_path(spark, "tokens")
     ending = b"" if end_id is None else struct.pack("<I", end_id)
 
@@ -254,8 +255,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str | None = None, kin
             writer, seq = None, seq + 1
 
         for b in batches:
-            for i in range(0, b.num_rows, 2000):
-                some = b.slice(i, 2000)
+            for i in range(0, b.num_rows, 200):
+                some = b.slice(i, 200)
                 texts = [t or "" for t in some.column(1).to_pylist()]
                 for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(texts), strict=True):
                     if writer is None:
