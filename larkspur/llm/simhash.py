@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm._common import BROADCAST_BYTES, alone, discard, materialize, spread_join
+from larkspur.llm._common import BROADCAST_BYTES, alone, discard, materialize, small_batches, spread_join
 
 #: Distinct fingerprints, those of least hash, that bit correlations and candidate counts are estimated from.
 SAMPLE = 2048
@@ -115,6 +115,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [b"".join(w.to_bytes(8, "big") for w in fingerprint((t.as_py() or "").encode("utf-8", "replace"), shingle, words)) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return d.mapInArrow(run, "doc_id long, fp binary")
 
@@ -312,7 +313,7 @@ def forest(group: np.ndarray, probe: np.ndarray, side: np.ndarray, w: np.ndarray
 
 
 def bucket_counts(fps: DataFrame, parts: list[tuple[list[int], int]], words: int) -> DataFrame:
-    """part, key, count: rows that ``bucket_rows`` makes of each bucket, counted in each task first."""
+    """part, key, count: rows that ``bucket_rows`` makes of each bucket; the keys alone, without the fingerprints."""
 
     def run(batches):
         import pyarrow as pa
@@ -325,10 +326,10 @@ def bucket_counts(fps: DataFrame, parts: list[tuple[list[int], int]], words: int
                 key = _keys(w, bits)
                 masks = [0] + [sum(1 << x for x in c) for k in range(1, t + 1) for c in combinations(range(len(bits)), k)]
                 for s in range(0, len(masks), 64):
-                    ks, n = np.unique((key[:, None] ^ np.array(masks[s : s + 64], np.uint64)[None, :]).ravel(), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), i, np.int16)), pa.array(ks.view(np.int64)), pa.array(n)], ["part", "key", "n"])
+                    ks = (key[:, None] ^ np.array(masks[s : s + 64], np.uint64)[None, :]).ravel().view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), i, np.int16)), pa.array(ks)], ["part", "key"])
 
-    return fps.select("full").mapInArrow(run, "part short, key long, n long").groupBy("part", "key").agg(F.sum("n").alias("count"))
+    return fps.select("full").mapInArrow(run, "part short, key long").groupBy("part", "key").count()
 
 
 def links(fps: DataFrame, parts: list[tuple[list[int], int]], words: int, node_words: int, distance: int, block: int = BLOCK) -> DataFrame:
@@ -585,6 +586,7 @@ def similar(docs: DataFrame, shingle=5, similarity=0.8, words=12, node_words=8,
     class all pairs are then counted exactly, in place, and only a spanning forest of what holds is given out.
     component_id: the least doc_id of the class; first: whether the row's (doc_id, text_hash) is the class's least, nulls last.
     """
+    small_batches(docs.sparkSession)
     per_mille = round(similarity * 1000)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
 
