@@ -99,3 +99,35 @@ def test_doubles_print_alike(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(xs)], "i long, d double")
     got = [r.value for r in columns.plan(df, "sort_by(.i) | .[] | .d | tostring", True).collect()]
     assert [g for g, x in zip(got, xs, strict=True) if g != show(x) and abs(x) != 5e-324] == []
+
+
+WHOLE = ["group_by(.x)", "map(.s) | add", "min_by(.d)", ".[-2:] | map(.i)", "sort_by(.x, -.i) | .[1:] | first", "[.[] | .i] | combinations(2) | length", "foreach .[] as $r ([]; . + [$r.i]; length)", "to_entries | length", "[limit(-1 + 2; .[])] | length", "map([.i, .x]) | transpose"]
+
+
+@pytest.mark.parametrize("query", WHOLE)
+def test_slurped_without_a_plan(frame, query):
+    df = larkspur.query(frame, query, slurp=True)
+    got = [json.loads(r["value"]) for r in df.orderBy("in_ord", "res_ord").collect()] if "res_ord" in df.columns else None
+    if got is not None:
+        assert got == [json.loads(dumps(v)) for v in larkspur.evaluate(query, python_rows())]
+
+
+def test_tables_without_a_plan(frame):
+    df = larkspur.query(frame, "[.i, ($t | map(select(.x == 3)) | length)] | @csv", tables={"t": frame})
+    assert [json.loads(r["value"]) for r in df.orderBy("in_ord").collect()] == [f"{i},2" for i in range(1, 7)]
+
+
+def test_large_arrays_without_a_plan(frame, monkeypatch):
+    monkeypatch.setattr(larkspur, "WHOLE_BYTES", 10)
+    with pytest.raises(columns.Unsupported):
+        larkspur.query(frame, "group_by(.x)", slurp=True)
+
+
+@pytest.mark.parametrize("query", ["sort_by(.k) | foreach .[] as $r (0; . + $r.v; {k: $r.k, total: .})", "sort_by(.k) | reverse | foreach .[] as $r (10; . + $r.v; {k: $r.k, total: .})"])
+def test_running_sum_by_ranges(spark, query, monkeypatch):
+    df = spark.range(3000).selectExpr("CASE WHEN id % 100 = 7 THEN NULL ELSE id * 7919 % 1500 END AS k", "id % 13 AS v").orderBy("k", "v").coalesce(1)
+    df = spark.createDataFrame(df.collect(), df.schema).coalesce(1)
+    one = columns.plan(df, query, True).collect()
+    monkeypatch.setattr(columns, "RUNNING_ROWS", 10)
+    cut = columns.plan(df, query, True)
+    assert sorted(map(str, cut.collect())) == sorted(map(str, one))
