@@ -170,10 +170,24 @@ COMMON = set("a an and any are as at be but by for from have in is it its may no
 ANCHORS = {max(own, key=lambda w: (len(w), w)) for ts in _TRIPLES.values() for one in ts for t in one if (own := [w for w in t if w not in COMMON])}
 
 
-def similarity(family: str, ws: list[str]) -> float:
-    """Most that a template of the family has in common with the words, of the smaller side's 3-grams."""
-    own = triples(ws)
-    return max((len(own & t) / min(len(own), len(t)) for t in _TRIPLES.get(family, []) if own and t), default=0.0)
+#: The templates that hold each 3-gram, and how many each has.
+_HOLDERS: dict[tuple[str, ...], list[tuple[str, int]]] = {}
+for _family, _sets in _TRIPLES.items():
+    for _k, _one in enumerate(_sets):
+        for _t in _one:
+            _HOLDERS.setdefault(_t, []).append((_family, _k))
+
+
+def similarities(ws: list[str]) -> dict[str, float]:
+    """By family the most that a template of it has in common with the words, of the smaller side's 3-grams; families with none are left out."""
+    own, common = triples(ws), {}
+    for t in own:
+        for holder in _HOLDERS.get(t, ()):
+            common[holder] = common.get(holder, 0) + 1
+    out: dict[str, float] = {}
+    for (family, k), n in common.items():
+        out[family] = max(out.get(family, 0.0), n / min(len(own), len(_TRIPLES[family][k])))
+    return out
 
 
 def paragraphs(text: str) -> list[tuple[int, str]]:
@@ -213,8 +227,11 @@ class Model:
             ws = words_of(p)
             if ANCHORS.isdisjoint(ws):
                 continue
+            near = similarities(ws)
+            if max(near.values(), default=0.0) < CONFIRM:
+                continue  # whatever is predicted, no template confirms it
             family, prob = self.predict(ws)
-            if family != UNKNOWN and prob > 0.5 and (sim := similarity(family, ws)) >= CONFIRM and found.get((line, family), (0, 0)) < (prob, sim):
+            if family != UNKNOWN and prob > 0.5 and (sim := near.get(family, 0.0)) >= CONFIRM and found.get((line, family), (0, 0)) < (prob, sim):
                 found[line, family] = (prob, sim)
         return sorted((line, f, p, s) for (line, f), (p, s) in found.items())
 
@@ -301,7 +318,7 @@ def background_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
             for t in b.column(0):
                 for _, p in paragraphs(t.as_py() or ""):
                     ws = words_of(p)
-                    if not ANCHORS.isdisjoint(ws) and max(similarity(f, ws) for f in TEMPLATES) < CONFIRM / 2:
+                    if not ANCHORS.isdisjoint(ws) and max(similarities(ws).values(), default=0.0) < CONFIRM / 2:
                         counts[[VOCABULARY[g] for g in grams(ws) if g in VOCABULARY] + [-1]] += 1
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.where(at == len(VOCABULARY), -1, at).astype(np.int32)), pa.array(counts[at])], ["gram", "n"])
